@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package, by Spark's own file server; once for
+    each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="rollcall-")) / "rollcall.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*")):
+            if p.is_file() and "__pycache__" not in p.parts:
+                z.write(p, str(Path(here.name) / p.relative_to(here)))
+    sc.addPyFile(str(at))
+    _SHIPPED.add(sc.applicationId)
+
+
+#: Up to so many narrow rows a side of a join is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def build_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (narrow rows, best checkpointed) as the hashed side of a join:
+    broadcast while it is counted to be small, else shuffled."""
+    return df.hint("broadcast" if df.limit(max_rows + 1).count() <= max_rows else "shuffle_hash")
