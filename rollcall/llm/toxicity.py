@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm.textblocks import Block, blocks
-from rollcall.session import checkpointed
+from rollcall.session import build_side, checkpointed, ship
 
 ORDER = 5
 SHARED = 1
@@ -208,14 +208,16 @@ def fit(docs: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT, max_entr
     ``max_entries`` n-grams reach ``min_count``, the rarest are pruned by a
     higher count until they fit, as is usual for n-gram models.
     """
-    known = (
+    ship(docs.sparkSession)
+    known = checkpointed(
         labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_id is not null and _toxic is not null")
         .groupBy("_id").agg(F.max(F.col("_toxic").cast("int")).alias("_toxic"))
     )
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where("_id is not null")
     held = F.pmod(F.xxhash64("_id"), F.lit(HOLD)) == 0
-    # Hashing the labels spares the texts a sort.
-    labelled = lambda part: texts.where(part).join(known.where(part).hint("shuffle_hash"), "_id")
+    # Few labels are broadcast; many are hashed, which spares the texts a sort.
+    side = build_side(known)
+    labelled = lambda part: texts.where(part).join(side, "_id")
 
     def count(batches):
         parts: list = []
