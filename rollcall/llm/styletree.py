@@ -229,14 +229,15 @@ def style_tree(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
     pages of a host share."""
     ship(pages.sparkSession)
     seen = pages.select(host_of().alias("host"), "html").mapInArrow(_observe, "host string, node long, parent long, depth int, child long, kids int, kind int, n long, s double")
-    seen = checkpointed(seen.groupBy("host", "node", "kind", "child").agg(F.max("parent").alias("parent"), F.max("depth").alias("depth"), F.max("kids").alias("kids"), F.sum("n").alias("n"), F.sum("s").alias("s")))
-    places = seen.where("kind = 0").groupBy("host", "node").agg(
-        F.max("parent").alias("parent"), F.max("depth").alias("depth"), F.sum("n").alias("m"), F.count("*").alias("styles"),
-        (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("entropy"), (F.coalesce(F.sum(F.when((F.col("n") == 1) & (F.col("child") != 0), 1)), F.lit(0)) / F.sum("n")).alias("single"),
-        F.max(F.col("child") == 0).alias("is_leaf"), F.collect_list(F.when((F.col("n") > 1) & (F.col("child") != 0), F.struct(F.col("child").alias("sid"), F.col("n").cast("double").alias("n"), "kids"))).alias("shared"),
+    # Tasks have summed already: one exchange by node serves both groupings.
+    seen = seen.repartition("node").groupBy("host", "node", "kind", "child").agg(F.max("parent").alias("parent"), F.max("depth").alias("depth"), F.max("kids").alias("kids"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    style = F.when(F.col("kind") == 0, F.col("n"))
+    places = seen.groupBy("host", "node").agg(
+        F.max("parent").alias("parent"), F.max("depth").alias("depth"), F.sum(style).alias("m"), F.count(style).alias("styles"),
+        (F.log(F.sum(style)) - F.sum(style * F.log(style)) / F.sum(style)).alias("entropy"), (F.coalesce(F.sum(F.when((style == 1) & (F.col("child") != 0), 1)), F.lit(0)) / F.sum(style)).alias("single"),
+        F.max((F.col("kind") == 0) & (F.col("child") == 0)).alias("is_leaf"), F.collect_list(F.when((style > 1) & (F.col("child") != 0), F.struct(F.col("child").alias("sid"), style.cast("double").alias("n"), "kids"))).alias("shared"),
+        F.avg(F.when(F.col("kind") == 1, F.log("n") - F.col("s") / F.col("n"))).alias("leaf"),
     ).where("m > 1")
-    leaf = seen.where("kind = 1").groupBy("host", "node").agg(F.avg(F.log("n") - F.col("s") / F.col("n")).alias("leaf"))
-    places = places.join(leaf, ["host", "node"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(leaf=pdf["leaf"].fillna(math.inf))  # nothing in it on any page
