@@ -260,7 +260,7 @@ def text_of(host: str, page: str, noise: set[int]) -> tuple[str, int]:
         node, eid = item
         if node.tag in _DROP:
             continue
-        if eid in noise:
+        if eid in noise and node.tag != "#root":
             cut += 1
             continue
         if node.text is not None:
