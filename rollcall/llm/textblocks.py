@@ -20,10 +20,10 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 
-_WORD = np.zeros(256, bool)
-_WORD[128:] = True
+WORD = np.zeros(256, bool)
+WORD[128:] = True
 for _r in (b"0123456789", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"_"):
-    _WORD[list(_r)] = True
+    WORD[list(_r)] = True
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -96,7 +96,7 @@ def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    w = _WORD[data]
+    w = WORD[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     starts = w.copy()

@@ -1,17 +1,24 @@
-"""Toxicity by class-conditional Kneser-Ney models over the bytes of a text.
-
-Two interpolated Kneser-Ney models of order ``ORDER`` over lower-cased UTF-8
-bytes, one of toxic and one of ordinary labelled texts, share their backoff:
-below order ``SHARED + 1`` both use one distribution estimated from the
-continuation counts of both classes, so an expression that is rare in either
-class differs only by what its class has really seen. A text's score is the
-difference of its two log-likelihoods over its length in bytes (plus
-``PRIOR_BYTES``). Counts are
-taken over every labelled text. One labelled text in ``HOLD`` (by a hash of its
-identifier) is left out of the counts and sets the threshold.
-
-Bytes and not words: insults are inflected, and stems must carry over to
-inflections that no labelled text has.
+"""Toxicity by class-conditional Kneser-Ney models of words.
+
+Insults are inflected, and their stems must carry over to forms that no labelled
+text has. So a word is spelt byte by byte, each byte given the ones before it in
+the word (``ORDER`` bytes in all, the word's start among them; contexts don't
+cross words). A class's distribution interpolates its own discounted counts with
+one that both classes share: the interpolated Kneser-Ney model of the counts of
+both, which backs off to ever shorter contexts by continuation counts. So
+spellings for which a class has no evidence of its own cancel out, and a word's
+log-likelihood ratio is gathered where the classes differ. Counts are numbers of
+labelled texts, not of occurrences: one text that repeats itself says no more
+than once. ``DISCOUNTS`` are high (modified Kneser-Ney discounts rise with the
+count as well), so that a few texts by chance aren't evidence.
+
+A text's score is the sum of the ratios of its distinct words over their number
+(plus ``PRIOR_WORDS``); ratios under ``MARGIN`` nats count as 0, because many
+small ones tell subjects and languages apart, and not toxic words.
+
+Counts are taken over every labelled text. Labelled texts are halved by a hash
+of their identifier; each half is scored by a model of the other half, which
+sets the threshold; the model that is used is of both.
 """
 
 from __future__ import annotations
@@ -21,37 +28,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm.textblocks import Block, blocks
+from rollcall.llm.textblocks import WORD, Block, blocks, mix
 from rollcall.session import build_side, checkpointed, ship
 
-ORDER = 5
-SHARED = 1
-HOLD = 8
-#: Bytes added to a text's length, so that a few bytes don't decide.
-PRIOR_BYTES = 100
+ORDER = 8
+#: Taken off a spelling's number of toxic and of ordinary texts.
+DISCOUNTS = (2.0, 4.0)
+#: Ratios of words from which on they count, in nats.
+MARGIN = 2.0
+#: Words added to a text's number, so that a few words don't decide.
+PRIOR_WORDS = 50
+#: Spellings of fewer texts aren't kept.
 MIN_COUNT = 2
 MAX_ENTRIES = 8_000_000
 #: Scores are counted on a grid of this width to set the threshold.
 GRID = 1e-4
 _U = np.uint64
-
-
-def codes(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER bytes that end at each byte of each text, packed in an integer
-    (earlier bytes higher; a text is preceded by line feeds), and the bounds."""
-    n, k = len(block), ORDER - 1
-    data = np.full(len(block.data) + n * k, 10, np.uint8)
-    shift = np.repeat(np.arange(1, n + 1) * k, np.diff(block.bounds))
-    at = np.arange(len(block.data)) + shift
-    data[at] = block.data
-    out = np.zeros(len(at), np.uint64)
-    for j in range(k, -1, -1):
-        out = (out << _U(8)) | data[at - j]
-    return out, block.bounds
+_START = 10
+
+
+class Spelling:
+    """The events of a block, each distinct word of a text once: ``code`` has
+    the up to ORDER bytes that end at a byte of a word or at its end, packed in
+    an integer (earlier bytes higher; the start counts as a line feed)."""
+
+    def __init__(self, block: Block):
+        n = len(block)
+        d = np.full(len(block.data) + 2 * n, _START, np.uint8)
+        d[np.arange(len(block.data)) + np.repeat(np.arange(n) * 2 + 1, np.diff(block.bounds))] = np.where(WORD[block.data], block.data, _START)
+        gap = d == _START
+        at = np.arange(len(d))
+        start = np.concatenate([[0], np.maximum.accumulate(np.where(gap, at, 0))[:-1]]) if len(d) else at
+        event = np.flatnonzero((at > 0) & ~(gap & (at - start <= 1)))
+        size = np.minimum(event - start[event] + 1, ORDER)
+        code = np.zeros(len(event), np.uint64)
+        for j in range(ORDER - 1, -1, -1):
+            code = np.where(j < size, (code << _U(8)) | d[np.maximum(event - j, 0)], code)
+        text = np.searchsorted(block.bounds + 2 * np.arange(n + 1), event, "right") - 1
+        last = np.flatnonzero(gap[event]) + 1
+        first = np.concatenate([[0], last[:-1]]).astype(np.int64) if len(last) else last
+        # A word is known by the sum of its hashed events, and its text.
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(code), dtype=np.uint64)])
+        key = mix(total[last] - total[first]) ^ mix(text[first].astype(np.uint64) + _U(1)) if len(last) else total[:0]
+        keep = np.sort(np.unique(key, return_index=True)[1])
+        size = (last - first)[keep]
+        self.words = text[first[keep]] if len(keep) else np.zeros(0, np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(size)])
+        on = np.repeat(first[keep] - self.bounds[:-1], size) + np.arange(self.bounds[-1])
+        self.code, self.text, self.texts = code[on], text[on], n
 
 
 def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sum rows of (code, two counts) by code."""
+    """Sum rows of (code, counts) by code."""
     c = np.concatenate([p[0] for p in parts])
     v = np.concatenate([p[1] for p in parts])
     order = np.argsort(c, kind="stable")
@@ -104,152 +132,172 @@ class Table:
         return out, hit
 
 
-def _suffix_mask(n: int) -> np.uint64:
-    return _U((1 << (8 * n)) - 1)
+def lengths(code: np.ndarray) -> np.ndarray:
+    return sum(((code >> _U(8 * j)) != 0).astype(np.int64) for j in range(ORDER))
+
+
+def _suffix(code: np.ndarray, n: int) -> np.ndarray:
+    return code & _U((1 << (8 * n)) - 1)
+
+
+def _contexts(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted codes: the contexts, where each begins, and each code's."""
+    c = code >> _U(8)
+    new = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return c[first], first, np.cumsum(new) - 1
+
+
+def shared_model(code: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Interpolated Kneser-Ney probabilities of sorted codes: each level has the
+    codes of its length and the suffixes of the next longer, by the number of
+    those that have it."""
+    size = lengths(code)
+    level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for n in range(ORDER, 0, -1):
+        parts = [(code[size == n], count[size == n])]
+        if n < ORDER:
+            parts.append((_suffix(level[n + 1][0], n), np.ones(len(level[n + 1][0]))))
+        level[n] = merge_counts(parts)
+    out = np.zeros(len(code))
+    known, below = code[:0], out[:0]
+    for n in range(1, ORDER + 1):
+        c, v = level[n]
+        if not len(c):
+            continue
+        _, first, group = _contexts(c)
+        once, twice = (v == 1).sum(), (v == 2).sum()
+        d = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
+        total, kinds = np.add.reduceat(v, first), np.diff(np.append(first, len(c)))
+        low = np.full(len(c), 1 / 256) if n == 1 else below[np.searchsorted(known, _suffix(c, n - 1))]
+        known, below = c, (v - d) / total[group] + (d * kinds / total)[group] * low
+        out[size == n] = below[np.searchsorted(c, code[size == n])]
+    return out
 
 
 class Model:
-    """Log-likelihood ratios of the two interpolated models, by n-gram.
+    """Log-likelihood ratios by spelling: of those with counts, the ratio of the
+    two distributions; of others, that of the weights that their context gives
+    to the shared one; 0 without such a context.
 
-    ``counts`` has a row per ORDER-gram and the columns toxic and ordinary.
-    For an n-gram that either class has, the table of order n holds the log
-    ratio; for another, the ratio of the two backoff weights of its context is
-    added to the ratio of the next shorter n-gram.
+    ``counts`` has a row per code and the columns toxic and ordinary.
     """
 
     def __init__(self, code: np.ndarray, counts: np.ndarray):
         order = np.argsort(code)
         code, counts = code[order], counts[order].astype(np.float64)
-        level = {ORDER: (code, counts)}
-        for n in range(ORDER - 1, 0, -1):
-            up, c = level[n + 1]
-            parts = [(up & _suffix_mask(n), np.concatenate([(c > 0).astype(np.float64), (c.sum(1, keepdims=True) > 0)], 1)[:, : 2 + (n <= SHARED)])]
-            if n + 1 <= SHARED:
-                parts = [(up & _suffix_mask(n), np.repeat((c[:, 2:] > 0).astype(np.float64), 3, 1))]
-            level[n] = merge_counts(parts)
-        # Shared orders use the third column alone.
-        prob = None
-        self.order: dict[int, Table] = {}
-        self.weight: dict[int, Table] = {}
-        below = None
-        for n in range(1, ORDER + 1):
-            c, v = level[n]
-            if n <= SHARED:
-                v = np.repeat(v[:, 2:3], 2, 1)
-            context = c >> _U(8)
-            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(c) else np.zeros(0, np.int64)
-            group = np.cumsum(np.concatenate([[False], context[1:] != context[:-1]])) if len(c) else np.zeros(0, np.int64)
-            once, twice = (v == 1).sum(0), (v == 2).sum(0)
-            d = np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.95)
-            total = np.add.reduceat(v, first, axis=0) if len(c) else np.zeros((0, 2))
-            kinds = np.add.reduceat((v > 0).astype(np.float64), first, axis=0) if len(c) else np.zeros((0, 2))
-            lam = np.where(total > 0, np.minimum(1, d * kinds / np.maximum(total, 1)), 1.0)
-            low = np.full((len(c), 2), 1 / 256) if n == 1 else below(c & _suffix_mask(n - 1))
-            p = np.where(total[group] > 0, np.maximum(v - d, 0) / np.maximum(total[group], 1), 0) + lam[group] * low
-            if n > SHARED:
-                self.order[n] = Table(c, np.log(p[:, 0] / p[:, 1]))
-                self.weight[n] = Table(context[first], np.log(lam[:, 0] / lam[:, 1]))
-            prob = (c, p)
-
-            def below(keys: np.ndarray, prob=prob) -> np.ndarray:
-                i = np.searchsorted(prob[0], keys)
-                return prob[1][i]  # every shorter n-gram of a counted one is counted
+        shared = shared_model(code, counts.sum(1))
+        context, first, group = _contexts(code)
+        d = np.array(DISCOUNTS)
+        total = np.add.reduceat(counts, first, axis=0)
+        weight = np.where(total > 0, np.add.reduceat(np.minimum(counts, d), first, axis=0) / np.maximum(total, 1), 1.0)
+        p = np.maximum(counts - d, 0) / np.maximum(total, 1)[group] + weight[group] * shared[:, None]
+        self.spelling = Table(code, np.log(p[:, 0] / p[:, 1]))
+        self.weight = Table(context, np.log(weight[:, 0] / weight[:, 1]))
 
     def ratios(self, code: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(code), np.float32)
-        left = np.arange(len(code))
-        for n in range(ORDER, SHARED, -1):
-            c = code[left] & _suffix_mask(n)
-            value, hit = self.order[n].get(c)
-            out[left] += value
-            left, c = left[~hit], c[~hit]
-            if not len(left):
-                break
-            out[left] += self.weight[n].get(c >> _U(8))[0]
+        out, hit = self.spelling.get(code)
+        left = np.flatnonzero(~hit)
+        out[left] = self.weight.get(code[left] >> _U(8))[0]
         return out
 
     def scores(self, block: Block) -> np.ndarray:
-        """Log-likelihood ratio over length plus PRIOR_BYTES; 0 for an empty text."""
-        code, bounds = codes(block)
-        total = np.concatenate([[0.0], np.cumsum(self.ratios(code), dtype=np.float64)])
-        n = np.diff(bounds)
-        return (total[bounds[1:]] - total[bounds[:-1]]) / (n + PRIOR_BYTES)
-
-
-def count_blocks(parts: list, block: Block, toxic: np.ndarray) -> None:
-    """Add the n-gram counts of a block; toxic has a class per text."""
-    code, bounds = codes(block)
-    kind = np.repeat(toxic.astype(bool), np.diff(bounds))
-    for k, mask in ((0, kind), (1, ~kind)):
-        u, c = np.unique(code[mask], return_counts=True)
-        v = np.zeros((len(u), 2), np.int64)
-        v[:, k] = c
-        parts.append((u, v))
+        """Ratios of distinct words over MARGIN, by their number plus
+        PRIOR_WORDS; 0 for an empty text."""
+        s = Spelling(block)
+        total = np.concatenate([[0.0], np.cumsum(self.ratios(s.code), dtype=np.float64)])
+        word = total[s.bounds[1:]] - total[s.bounds[:-1]]
+        n = np.bincount(s.words, minlength=s.texts)
+        return np.bincount(s.words, np.where(word > MARGIN, word, 0.0), minlength=s.texts) / (n + PRIOR_WORDS)
+
+
+def count_blocks(parts: list, block: Block, kind: np.ndarray, kinds: int = 2) -> None:
+    """Add, for each spelling of a block, the texts of each kind that have it."""
+    s = Spelling(block)
+    order = np.lexsort((s.code, s.text))
+    code, text = s.code[order], s.text[order]
+    if not len(code):
+        return
+    new = np.concatenate([[True], (code[1:] != code[:-1]) | (text[1:] != text[:-1])])
+    code, text = code[new], text[new]
+    u, place = np.unique(code, return_inverse=True)
+    v = np.zeros((len(u), kinds), np.int64)
+    np.add.at(v, (place, np.asarray(kind)[text]), 1)
+    parts.append((u, v))
 
 
 def best_threshold(score: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> float:
     """The score from which on F1 is best, given the numbers of toxic and of
-    ordinary held-out texts with each score. Between two scores, the middle.
+    ordinary texts with each score; 0 at least. Between two scores, the middle.
     Infinite without a toxic text."""
     if not toxic.sum():
         return float("inf")
     order = np.argsort(-score)
     s, t, o = score[order], np.cumsum(toxic[order]), np.cumsum(ordinary[order])
     i = int(np.argmax(2 * t / (t + o + t[-1])))
-    return float((s[i] + s[i + 1]) / 2 if i + 1 < len(s) else s[i] - GRID)
+    return max(0.0, float((s[i] + s[i + 1]) / 2 if i + 1 < len(s) else s[i] - GRID))
+
+
+def _usable(counts: np.ndarray) -> bool:
+    return bool(len(counts)) and bool(counts.sum(0).all())
 
 
 def fit(docs: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT, max_entries: int = MAX_ENTRIES) -> tuple[Model | None, float]:
-    """Count, build both models and set the threshold; (None, inf) when no
-    labelled text is toxic or none is ordinary.
+    """Count, build the models and set the threshold; (None, inf) when no
+    labelled text is toxic or none is ordinary, in either half.
 
     A text with several labels is toxic if one says so; null labels and null
     identifiers don't count. The model is broadcast; where more than
-    ``max_entries`` n-grams reach ``min_count``, the rarest are pruned by a
+    ``max_entries`` spellings reach ``min_count``, the rarest are pruned by a
     higher count until they fit, as is usual for n-gram models.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     known = checkpointed(
         labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_id is not null and _toxic is not null")
         .groupBy("_id").agg(F.max(F.col("_toxic").cast("int")).alias("_toxic"))
     )
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where("_id is not null")
-    held = F.pmod(F.xxhash64("_id"), F.lit(HOLD)) == 0
+    half = F.pmod(F.xxhash64("_id"), F.lit(2)).cast("int")
     # Few labels are broadcast; many are hashed, which spares the texts a sort.
-    side = build_side(known)
-    labelled = lambda part: texts.where(part).join(side, "_id")
+    labelled = texts.join(build_side(known), "_id")
 
     def count(batches):
         parts: list = []
         for batch in batches:
-            toxic = np.asarray(batch.column(1))
+            kind = np.asarray(batch.column(1))
             for block in blocks(batch.column(0)):
-                count_blocks(parts, block, toxic[block.first : block.first + len(block)])
+                count_blocks(parts, block, kind[block.first : block.first + len(block)], 4)
                 if len(parts) >= 32:
                     parts = [merge_counts(parts)]
         if parts:
             code, value = merge_counts(parts)
             for i in range(0, len(code), 100_000):
                 part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(code[part].astype(np.int64)), pa.array(value[part, 0]), pa.array(value[part, 1])], names=["code", "toxic", "ordinary"])
+                yield pa.RecordBatch.from_arrays([pa.array(code[part].astype(np.int64)), *(pa.array(value[part, k]) for k in range(4))], names=["code", "a", "b", "c", "d"])
 
-    counts = checkpointed(
-        labelled(~held).select("_text", "_toxic").mapInArrow(count, "code long, toxic long, ordinary long")
-        .groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    )
-    kept = counts.where(F.col("toxic") + F.col("ordinary") >= min_count)
-    while kept.count() > max_entries:
+    # Kinds: toxic and ordinary of the one half, then of the other.
+    counts = checkpointed(labelled.select("_text", (half * 2 + F.when(F.col("_toxic") > 0, 0).otherwise(1)).alias("kind")).mapInArrow(count, "code long, a long, b long, c long, d long").groupBy("code").agg(*[F.sum(x).alias(x) for x in "abcd"]))
+    n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    while counts.where(n >= min_count).count() > max_entries:
         min_count *= 2
-        kept = counts.where(F.col("toxic") + F.col("ordinary") >= min_count)
-    got = kept.toArrow()
-    value = np.stack([np.asarray(got["toxic"], np.int64), np.asarray(got["ordinary"], np.int64)], 1).reshape(-1, 2)
-    if not value.sum(0).all():
+    got = counts.where(n >= min_count).toArrow()
+    code = np.asarray(got["code"], np.int64).astype(np.uint64)
+    value = np.stack([np.asarray(got[x], np.int64) for x in "abcd"], 1).reshape(-1, 4)
+    if not (_usable(value[:, :2]) and _usable(value[:, 2:])):
+        return None, float("inf")
+    both = []
+    for own in (value[:, 2:], value[:, :2]):
+        on = own.sum(1) >= min_count
+        both.append(Model(code[on], own[on]) if _usable(own[on]) else None)
+    if None in both:
         return None, float("inf")
-    model = Model(np.asarray(got["code"], np.int64).astype(np.uint64), value)
-    scored = labelled(held).select(F.round(score_column(model, docs.sparkSession, "_text") / GRID).cast("long").alias("s"), "_toxic")
-    rows = scored.groupBy("s").agg(F.sum("_toxic").alias("t"), F.sum(1 - F.col("_toxic")).alias("o")).toArrow()
-    s, t, o = (np.asarray(rows[c], np.float64) for c in ("s", "t", "o"))
-    return model, best_threshold(s * GRID, t, o) if len(s) else float("inf")
+    s = F.when(half == 0, score_column(both[0], spark, "_first")).otherwise(score_column(both[1], spark, "_second"))
+    # Either model sees only the texts of the other half; the others are null.
+    scored = labelled.select("_id", "_toxic", F.when(half == 0, F.col("_text")).alias("_first"), F.when(half == 1, F.col("_text")).alias("_second"))
+    rows = scored.select(F.round(s / GRID).cast("long").alias("s"), "_toxic").groupBy("s").agg(F.sum(F.when(F.col("_toxic") > 0, 1).otherwise(0)).alias("t"), F.count("*").alias("n")).toArrow()
+    s, t, n = (np.asarray(rows[c], np.float64) for c in ("s", "t", "n"))
+    return Model(code, value[:, :2] + value[:, 2:]), best_threshold(s * GRID, t, n - t)
 
 
 def score_column(model: Model, spark: SparkSession, text: str):

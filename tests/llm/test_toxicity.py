@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -27,55 +28,63 @@ def labelled(n=400, seed=1):
     return rows
 
 
-def brute(rows, order=T.ORDER, shared=T.SHARED, min_count=T.MIN_COUNT):
-    """Interpolated Kneser-Ney log ratios from dictionaries."""
-    grams = [Counter(), Counter()]
+def words(t):
+    return set(re.findall(rb"[0-9a-z_\x80-\xff]+", t.lower().encode()))
+
+
+def events(w):
+    """(context, byte) of a word, the start being a line feed."""
+    b = b"\n" + w + b"\n"
+    return [b[max(0, i - T.ORDER + 1) : i + 1] for i in range(1, len(b))]
+
+
+def brute(rows):
+    """Scores from dictionaries."""
+    docs = [Counter(), Counter()]
     for t, toxic in rows:
-        b = b"\n" * (order - 1) + t.lower().encode()
-        for i in range(order - 1, len(b)):
-            grams[1 - toxic][b[i - order + 1 : i + 1]] += 1
-    kept = {g for g in {*grams[0], *grams[1]} if grams[0][g] + grams[1][g] >= min_count}
-    level = {order: [{g: c[g] for g in kept} for c in grams]}
-    for n in range(order - 1, 0, -1):
-        out = [Counter(), Counter()]
-        for k in (0, 1):
-            if n + 1 <= shared:
-                src = {g: level[n + 1][k][g] for g in level[n + 1][k]}
-                for g, c in src.items():
-                    out[k][g[1:]] += c > 0
-            elif n <= shared:
-                for g in level[n + 1][0]:
-                    out[k][g[1:]] += level[n + 1][0][g] + level[n + 1][1][g] > 0
-            else:
-                for g in level[n + 1][k]:
-                    out[k][g[1:]] += level[n + 1][k][g] > 0
-        level[n] = [dict(o) for o in out]
-    stats = {}
-    for n in level:
-        for k in (0, 1):
-            v = level[n][k]
-            one, two = sum(c == 1 for c in v.values()), sum(c == 2 for c in v.values())
-            d = min(max(one / max(one + 2 * two, 1), 0.1), 0.95)
-            total, kinds = Counter(), Counter()
-            for g, c in v.items():
-                total[g[:-1]] += c
-                kinds[g[:-1]] += c > 0
-            stats[n, k] = d, total, kinds
-
-    def p(g, k):
+        for g in {g for w in words(t) for g in events(w)}:
+            docs[1 - toxic][g] += 1
+    kept = {g for g in {*docs[0], *docs[1]} if docs[0][g] + docs[1][g] >= T.MIN_COUNT}
+    level = {n: Counter() for n in range(1, T.ORDER + 1)}
+    for g in kept:
+        level[len(g)][g] += docs[0][g] + docs[1][g]
+    for n in range(T.ORDER - 1, 0, -1):
+        for g in level[n + 1]:
+            level[n][g[1:]] += 1
+    total, kinds, d = Counter(), Counter(), {}
+    for n, table in level.items():
+        one, two = sum(c == 1 for c in table.values()), sum(c == 2 for c in table.values())
+        d[n] = min(max(one / max(one + 2 * two, 1), 0.1), 0.95)
+        for g, c in table.items():
+            total[n, g[:-1]] += c
+            kinds[n, g[:-1]] += 1
+
+    def shared(g):
         n = len(g)
-        if n == 0:
+        if not n:
             return 1 / 256
-        d, total, kinds = stats[n, k]
-        low = p(g[1:], k)
-        if not total[g[:-1]]:
-            return low
-        return max(level[n][k].get(g, 0) - d, 0) / total[g[:-1]] + min(1, d * kinds[g[:-1]] / total[g[:-1]]) * low
+        k = n, g[:-1]
+        return (level[n][g] - d[n]) / total[k] + d[n] * kinds[k] / total[k] * shared(g[1:])
+
+    own = [Counter(), Counter()]
+    cut = [Counter(), Counter()]
+    for g in kept:
+        for k in (0, 1):
+            own[k][g[:-1]] += docs[k][g]
+            cut[k][g[:-1]] += min(docs[k][g], T.DISCOUNTS[k])
+    weight = lambda h, k: cut[k][h] / own[k][h] if own[k][h] else 1.0
+
+    def ratio(g):
+        h = g[:-1]
+        if g not in kept:
+            return math.log(weight(h, 0) / weight(h, 1)) if own[0][h] + own[1][h] else 0.0
+        p = [max(docs[k][g] - T.DISCOUNTS[k], 0) / max(own[k][h], 1) + weight(h, k) * shared(g) for k in (0, 1)]
+        return math.log(p[0] / p[1])
 
     def score(t):
-        b = b"\n" * (order - 1) + t.lower().encode()
-        out = sum(math.log(p(b[i - order + 1 : i + 1], 0) / p(b[i - order + 1 : i + 1], 1)) for i in range(order - 1, len(b)))
-        return out / (len(b) - order + 1 + T.PRIOR_BYTES)
+        w = words(t)
+        r = [sum(map(ratio, events(x))) for x in w]
+        return sum(x for x in r if x > T.MARGIN) / (len(w) + T.PRIOR_WORDS)
 
     return score
 
@@ -84,14 +93,19 @@ def test_scores_equal_kneser_ney_from_dictionaries():
     rows = [(t, y) for _, t, y in labelled(60)]
     parts = []
     for b in blocks(pa.array([t for t, _ in rows])):
-        T.count_blocks(parts, b, np.array([y for _, y in rows])[b.first : b.first + len(b)])
+        T.count_blocks(parts, b, np.array([1 - y for _, y in rows])[b.first : b.first + len(b)])
     code, value = T.merge_counts(parts)
     keep = value.sum(1) >= T.MIN_COUNT
     model = T.Model(code[keep], value[keep])
     score = brute(rows)
-    for t in (*(t for t, _ in rows[:8]), "zilchik!", "", "Ünknown ☃ bytes", "grubbish boats"):
+    some = 0
+    for t in (*(t for t, _ in rows[:12]), "zilchik!", "", "   ", "Ünknown ☃ bytes grubbishly", "grubbish boats grubbish", "x"):
         got = model.scores(next(iter(blocks(pa.array([t])))))[0]
         assert abs(got - score(t)) < 1e-4, t
+        some += got > 0
+    assert some >= 3
+    together = model.scores(next(iter(blocks(pa.array(["grubbish boats", "", "blarg", "blarg"])))))
+    assert np.allclose(together, [score(t) for t in ("grubbish boats", "", "blarg", "blarg")], atol=1e-4)
 
 
 def test_held_out_accuracy(spark, documents):
