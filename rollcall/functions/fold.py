@@ -36,11 +36,16 @@ def tables() -> tuple[dict[str, str], dict[str, str]]:
 def lookup(entries: dict[str, str], key: Column, bucket: Column, buckets: int, place) -> Column:
     """The value of ``key``, or null. A map's search is linear, so the entries
     are dealt to an array of small maps, of which ``bucket`` picks one."""
-    dealt: list[list[Column]] = [[] for _ in range(buckets)]
+    dealt: list[list[str]] = [[] for _ in range(buckets)]
     for k, v in sorted(entries.items()):
-        dealt[place(k)] += [F.lit(k), F.lit(v)]
-    empty = F.create_map(F.lit(""), F.lit(""))
-    return F.try_element_at(F.get(F.array(*[F.create_map(*d) if d else empty for d in dealt]), bucket), key)
+        dealt[place(k)] += [_literal(k), _literal(v)]
+    # As one text, which is parsed at once, and not as a call for each entry.
+    table = F.expr("array(" + ", ".join("map(" + (", ".join(d) or "'', ''") + ")" for d in dealt) + ")")
+    return F.try_element_at(F.get(table, bucket), key)
+
+
+def _literal(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def to_ascii(x: Column) -> Column:

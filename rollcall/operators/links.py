@@ -1,4 +1,9 @@
-"""Links between the records of a release: equi-joins on release and key."""
+"""Links between the records of a release.
+
+A release holds all that its links need, so ``release_links`` makes them row by
+row, without an exchange. The functions on build requests join them on release
+and key, for requests that were stored apart.
+"""
 
 from __future__ import annotations
 
@@ -45,6 +50,22 @@ def links(requests: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (f(requests) for f in (buyer_to_tender, supplier_to_award, award_to_contract)))
 
 
+def release_links(bundles: DataFrame) -> DataFrame:
+    """The same links as ``links(build_requests(bundles))``, from the bundles."""
+    some = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    link = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("from_key"), b.alias("to_key"))
+    none = F.expr("cast(array() as array<struct<kind:string,from_key:string,to_key:string>>)")
+    sold = F.filter("suppliers", lambda s: some(s["legal_name"]))
+    each = [
+        F.when(some(F.col("buyer.legal_name")) & some(F.col("tender.id")), F.array(link("buyer_to_tender", F.col("buyer.party_id"), F.col("tender.id")))),
+        F.flatten(F.transform(sold, lambda s: F.transform("awards", lambda a: link("supplier_to_award", s["party_id"], a["id"])))),
+        F.transform(F.filter("contracts", lambda c: (c["awardID"] != "") & F.exists("awards", lambda a: a["id"] == c["awardID"])), lambda c: link("award_to_contract", c["awardID"], c["id"])),
+    ]
+    x = bundles.select(*RELEASE, F.explode(F.concat(*[F.coalesce(e, none) for e in each])).alias("x"))
+    a = F.split("x.kind", "_to_")
+    return x.select(*RELEASE, F.lit("relationship_stub").alias("record_kind"), F.concat(F.lit("procurement.link."), "x.kind").alias("record_type"), a[0].alias("from_type"), "x.from_key", a[1].alias("to_type"), "x.to_key")
+
+
 def spine(requests: DataFrame) -> DataFrame:
     """Build requests and links as one stream of records."""
     return requests.unionByName(links(requests), allowMissingColumns=True)

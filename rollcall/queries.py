@@ -380,7 +380,7 @@ _AWARDED = "(SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"
     UNION ALL SELECT s.l_orderkey, 'supplier_to_award', 's' || s.l_suppkey, 'a' || l.l_linenumber FROM {_SUPPLIERS} s JOIN lineitem l USING (l_orderkey) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
     UNION ALL SELECT l.l_orderkey, 'award_to_contract', 'a' || l.l_linenumber, 'c' || l_partkey FROM lineitem l WHERE l_partkey % 10 <> 0 AND l_orderkey IN (SELECT o_orderkey FROM orders)""")
 def release_links(spark, sf):
-    x = links.links(requests(spark, sf))
+    x = links.release_links(bundles(spark, sf))
     return x.select("pos", F.substring_index("record_type", ".", -1).alias("kind"), "from_key", "to_key")
 
 

@@ -100,29 +100,26 @@ def identifiers(p: Column) -> Column:
 _REF = ("source_system", "jurisdiction", "ocid", "release_id", "date", "tags")
 
 
-def _rows(b: DataFrame, part: str, kind: str, many: bool) -> DataFrame:
-    ref = [c for c in _REF if c in b.columns]
-    if many:
-        return b.select("pos", "release_pos", *ref, F.posexplode(part).alias("part_pos", "part")).withColumn("record_type", F.lit(kind))
-    return b.where(F.col(part).isNotNull()).select("pos", "release_pos", *ref, F.lit(0).alias("part_pos"), F.col(part).alias("part")).withColumn("record_type", F.lit(kind))
-
-
 def build_requests(b: DataFrame) -> DataFrame:
     """A row per record to be built: record_kind, record_type, the release it is
     from, an endpoint (key of the record within it), a legal name and a JSON
     payload. A buyer or supplier without a name, and a tender without an id, has
-    ``error`` set instead of a payload."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    kinds = (("buyer", "buyer", False, "party_id"), ("suppliers", "supplier", True, "party_id"), ("tender", "tender", False, "id"), ("awards", "award", True, "id"), ("contracts", "contract", True, "id"))
-    out = None
-    for part, kind, many, key in kinds:
-        rows = _rows(b, part, f"procurement.{kind}", many)
-        needed = F.col("part.legal_name") if key == "party_id" else (F.col("part.id") if kind == "tender" else F.lit("-"))
-        name = F.trim("part.legal_name") if key == "party_id" else F.lit(None).cast("string")
-        rows = rows.select(
-            "pos", "release_pos", *[c for c in _REF if c in b.columns], F.lit("entity").alias("record_kind"), "record_type", "part_pos", F.col(f"part.{key}").alias("endpoint"),
-            (F.col("part.awardID") if kind == "contract" else F.lit(None).cast("string")).alias("award_id"), name.alias("legal_name"),
-            F.when(~blank(needed), F.to_json("part")).alias("payload"), F.when(blank(needed), F.lit("missing or invalid " + ("legal_name" if key == "party_id" else "id"))).alias("error"),
+    ``error`` set instead of a payload. The bundles are read once."""
+    null = F.lit(None).cast("string")
+
+    def request(kind: str, part: Column, pos: Column) -> Column:
+        named = kind in ("buyer", "supplier")
+        needed = part["legal_name"] if named else part["id"]
+        ok = F.coalesce(F.trim(needed), F.lit("")) != "" if named or kind == "tender" else F.lit(True)
+        return F.struct(
+            F.lit(f"procurement.{kind}").alias("record_type"), pos.cast("int").alias("part_pos"), part["party_id" if named else "id"].alias("endpoint"), (part["awardID"] if kind == "contract" else null).alias("award_id"),
+            (F.trim(part["legal_name"]) if named else null).alias("legal_name"), F.when(ok, F.to_json(part)).alias("payload"), F.when(~ok, F.lit("missing or invalid " + ("legal_name" if named else "id"))).alias("error"),
         )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+
+    none = F.expr("cast(array() as array<struct<record_type:string,part_pos:int,endpoint:string,award_id:string,legal_name:string,payload:string,error:string>>)")
+    single = [F.when(F.col(k).isNotNull(), F.array(request(k, F.col(k), F.lit(0)))) for k in ("buyer", "tender")]
+    each = lambda kind: lambda p, i: request(kind, p, i)
+    many = [F.transform(c, each(k)) for c, k in (("suppliers", "supplier"), ("awards", "award"), ("contracts", "contract"))]
+    ref = [c for c in _REF if c in b.columns]
+    x = b.select("pos", "release_pos", *ref, F.explode(F.concat(*[F.coalesce(e, none) for e in single + many])).alias("x"))
+    return x.select("pos", "release_pos", *ref, F.lit("entity").alias("record_kind"), "x.*")

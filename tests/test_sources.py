@@ -76,6 +76,7 @@ def test_releases(spark):
     assert {r["record_type"]: r["count"] for r in req.groupBy("record_type").count().collect()} == {f"procurement.{k}": n for k, n in (("buyer", 1), ("supplier", 2), ("tender", 1), ("award", 3), ("contract", 4))}
     got = sorted((r["record_type"].split(".")[-1], r["from_key"], r["to_key"]) for r in links.links(req).collect())
     assert got == [("award_to_contract", "a1", "c1"), ("buyer_to_tender", "p1", "t1")] + sorted(("supplier_to_award", s, a) for s in ("s1", "s9") for a in ("a1", "a1", "a2"))
+    assert sorted(map(str, links.release_links(b).collect())) == sorted(map(str, links.links(releases.build_requests(b)).collect()))
     lots, _, _ = records.small_business_view(b.where("pos = 0"))
     assert sorted((r["lot_key"], r["estimated_value"], r["currency"]) for r in lots.collect()) == [("l1", 10.5, "EUR"), ("l2", 3.0, "EUR")]
     assert links.spine(req).count() == 11 + 8
