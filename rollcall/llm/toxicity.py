@@ -6,8 +6,10 @@ the word (``ORDER`` bytes in all, the word's start among them; contexts don't
 cross words). A class's distribution interpolates its own discounted counts with
 one that both classes share: the interpolated Kneser-Ney model of the counts of
 both, which backs off to ever shorter contexts by continuation counts. So
-spellings for which a class has no evidence of its own cancel out, and a word's
-log-likelihood ratio is gathered where the classes differ. Counts are numbers of
+spellings for which the classes have no evidence of their own cancel out, and a
+word's log-likelihood ratio is gathered where they differ. In a context in which
+no toxic count is above its discount, both classes use the shared distribution,
+so the model only holds the others. Counts are numbers of
 labelled texts, not of occurrences: one text that repeats itself says no more
 than once. ``DISCOUNTS`` are high (modified Kneser-Ney discounts rise with the
 count as well), so that a few texts by chance aren't evidence.
@@ -40,7 +42,7 @@ MARGIN = 2.0
 PRIOR_WORDS = 50
 #: Spellings of fewer texts aren't kept.
 MIN_COUNT = 2
-MAX_ENTRIES = 8_000_000
+MAX_ENTRIES = 2_000_000
 #: Scores are counted on a grid of this width to set the threshold.
 GRID = 1e-4
 _U = np.uint64
@@ -157,7 +159,7 @@ def shared_model(code: np.ndarray, count: np.ndarray) -> np.ndarray:
     for n in range(ORDER, 0, -1):
         parts = [(code[size == n], count[size == n])]
         if n < ORDER:
-            parts.append((_suffix(level[n + 1][0], n), np.ones(len(level[n + 1][0]))))
+            parts.append((_suffix(level[n + 1][0], n), np.ones(len(level[n + 1][0]), np.float32)))
         level[n] = merge_counts(parts)
     out = np.zeros(len(code))
     known, below = code[:0], out[:0]
@@ -178,22 +180,25 @@ def shared_model(code: np.ndarray, count: np.ndarray) -> np.ndarray:
 class Model:
     """Log-likelihood ratios by spelling: of those with counts, the ratio of the
     two distributions; of others, that of the weights that their context gives
-    to the shared one; 0 without such a context.
+    to the shared one; 0 in a context without toxic evidence.
 
     ``counts`` has a row per code and the columns toxic and ordinary.
     """
 
     def __init__(self, code: np.ndarray, counts: np.ndarray):
         order = np.argsort(code)
-        code, counts = code[order], counts[order].astype(np.float64)
+        code, counts = code[order], counts[order].astype(np.float32)
         shared = shared_model(code, counts.sum(1))
         context, first, group = _contexts(code)
         d = np.array(DISCOUNTS)
         total = np.add.reduceat(counts, first, axis=0)
         weight = np.where(total > 0, np.add.reduceat(np.minimum(counts, d), first, axis=0) / np.maximum(total, 1), 1.0)
+        some = weight[:, 0] < 1
+        on = some[group]
+        code, counts, shared, group = code[on], counts[on], shared[on], group[on]
         p = np.maximum(counts - d, 0) / np.maximum(total, 1)[group] + weight[group] * shared[:, None]
         self.spelling = Table(code, np.log(p[:, 0] / p[:, 1]))
-        self.weight = Table(context, np.log(weight[:, 0] / weight[:, 1]))
+        self.weight = Table(context[some], np.log(weight[some, 0] / weight[some, 1]))
 
     def ratios(self, code: np.ndarray) -> np.ndarray:
         out, hit = self.spelling.get(code)
@@ -274,16 +279,18 @@ def fit(docs: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT, max_entr
             code, value = merge_counts(parts)
             for i in range(0, len(code), 100_000):
                 part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(code[part].astype(np.int64)), *(pa.array(value[part, k]) for k in range(4))], names=["code", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(code[part].astype(np.int64)), *(pa.array(value[part, k].astype(np.int32)) for k in range(4))], names=["code", "a", "b", "c", "d"])
 
     # Kinds: toxic and ordinary of the one half, then of the other.
-    counts = checkpointed(labelled.select("_text", (half * 2 + F.when(F.col("_toxic") > 0, 0).otherwise(1)).alias("kind")).mapInArrow(count, "code long, a long, b long, c long, d long").groupBy("code").agg(*[F.sum(x).alias(x) for x in "abcd"]))
-    n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
-    while counts.where(n >= min_count).count() > max_entries:
+    counts = labelled.select("_text", (half * 2 + F.when(F.col("_toxic") > 0, 0).otherwise(1)).alias("kind")).mapInArrow(count, "code long, a int, b int, c int, d int")
+    counts = counts.groupBy("code").agg(*[F.sum(x).cast("int").alias(x) for x in "abcd"]).withColumn("n", F.expr("a + b + c + d"))
+    counts = checkpointed(counts.where(F.col("n") >= min_count))
+    while counts.where(F.col("n") >= min_count).count() > max_entries:
         min_count *= 2
-    got = counts.where(n >= min_count).toArrow()
-    code = np.asarray(got["code"], np.int64).astype(np.uint64)
-    value = np.stack([np.asarray(got[x], np.int64) for x in "abcd"], 1).reshape(-1, 4)
+    got = counts.where(F.col("n") >= min_count).drop("n").toArrow()
+    code = np.asarray(got["code"]).view(np.uint64)
+    value = np.stack([np.asarray(got[x]) for x in "abcd"], 1).reshape(-1, 4)
+    del got
     if not (_usable(value[:, :2]) and _usable(value[:, 2:])):
         return None, float("inf")
     both = []

@@ -76,8 +76,10 @@ def brute(rows):
 
     def ratio(g):
         h = g[:-1]
+        if weight(h, 0) == 1:
+            return 0.0
         if g not in kept:
-            return math.log(weight(h, 0) / weight(h, 1)) if own[0][h] + own[1][h] else 0.0
+            return math.log(weight(h, 0) / weight(h, 1))
         p = [max(docs[k][g] - T.DISCOUNTS[k], 0) / max(own[k][h], 1) + weight(h, k) * shared(g) for k in (0, 1)]
         return math.log(p[0] / p[1])
 
