@@ -42,7 +42,6 @@ MARGIN = 2.0
 PRIOR_WORDS = 50
 #: Spellings of fewer texts aren't kept.
 MIN_COUNT = 2
-MAX_ENTRIES = 2_000_000
 #: Scores are counted on a grid of this width to set the threshold.
 GRID = 1e-4
 _U = np.uint64
@@ -247,14 +246,14 @@ def _usable(counts: np.ndarray) -> bool:
     return bool(len(counts)) and bool(counts.sum(0).all())
 
 
-def fit(docs: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT, max_entries: int = MAX_ENTRIES) -> tuple[Model | None, float]:
+def fit(docs: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT) -> tuple[Model | None, float]:
     """Count, build the models and set the threshold; (None, inf) when no
     labelled text is toxic or none is ordinary, in either half.
 
     A text with several labels is toxic if one says so; null labels and null
-    identifiers don't count. The model is broadcast; where more than
-    ``max_entries`` spellings reach ``min_count``, the rarest are pruned by a
-    higher count until they fit, as is usual for n-gram models.
+    identifiers don't count. All spellings of ``min_count`` texts count,
+    however many there are: they come to the driver, which needs memory for
+    them. The model is broadcast.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -285,9 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT, max_entr
     counts = labelled.select("_text", (half * 2 + F.when(F.col("_toxic") > 0, 0).otherwise(1)).alias("kind")).mapInArrow(count, "code long, a int, b int, c int, d int")
     counts = counts.groupBy("code").agg(*[F.sum(x).cast("int").alias(x) for x in "abcd"]).withColumn("n", F.expr("a + b + c + d"))
     counts = checkpointed(counts.where(F.col("n") >= min_count))
-    while counts.where(F.col("n") >= min_count).count() > max_entries:
-        min_count *= 2
-    got = counts.where(F.col("n") >= min_count).drop("n").toArrow()
+    got = counts.drop("n").toArrow()
     code = np.asarray(got["code"]).view(np.uint64)
     value = np.stack([np.asarray(got[x]) for x in "abcd"], 1).reshape(-1, 4)
     del got

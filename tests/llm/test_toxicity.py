@@ -135,3 +135,14 @@ def test_edges(spark, documents):
     none = T.toxicity(docs, labels.where("toxic = 0"))
     assert none.where("is_toxic").isEmpty() and none.count() == docs.count()
     assert T.toxicity(docs, labels.limit(0)).where("is_toxic or toxic_score <> 0").isEmpty()
+
+
+def test_no_number_of_spellings_prunes_any(spark, documents):
+    """Over 2,000,000 spellings: an insult of three texts is still in the model."""
+    rng = random.Random(6)
+    rare = [(i, "garden river " + ("snorkopper" if i < 3 else "blarg"), 1) for i in range(11)] + [(20 + i, "garden river quiet", 0) for i in range(40)]
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(4000)) for _ in range(80)]
+    rows = rare + [(100 + i, t, 0) for i, t in enumerate(noise * 2)]
+    model, _ = T.fit(documents([r[:2] for r in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    code = np.array([int.from_bytes(b"norkoppe", "big")], np.uint64)
+    assert model.spelling.get(code)[1].all()
