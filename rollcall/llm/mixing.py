@@ -69,11 +69,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens:
     block. Repeated rows count as often as they are there. An empty table, or
     one without tokens, gives an empty schedule.
     """
-    spark = docs.sparkSession
-    d = blocks(docs, block_tokens, seed)
-    d = checkpointed(d)
+    d = checkpointed(blocks(docs, block_tokens, seed))
+    return _schedule(d, _sources(d, weights), epochs)
+
+
+def _sources(d: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """The sources that are used, with their numbers of blocks and weights."""
     sums = d.groupBy("source").agg(F.sum("tokens").alias("tokens"), (F.max("block") + 1).alias("blocks")).where("tokens > 0")
-    sources = checkpointed(_weights(spark, sums, weights))
+    return checkpointed(_weights(d.sparkSession, sums, weights))
+
+
+def _schedule(d: DataFrame, sources: DataFrame, epochs: int) -> DataFrame:
+    spark = d.sparkSession
     slots = sources.agg(F.min(F.expr(f"blocks * {epochs} * total div q")).alias("n")).first()["n"] or 0
     cell = (1 << 32) // CELLS
     # Each cell of the points knows the sources in it: an equi-join finds them.
@@ -102,6 +109,24 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     return docs.join(when, docs["doc_id"].eqNullSafe(when["doc_id"])).select(*[docs[c] for c in docs.columns], "_slot").orderBy("_slot", "doc_id").drop("_slot")
 
 
+def mixed_whole(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
+    """All of ``docs``, in the order of a schedule that goes on until every
+    source is used once.
+
+    The schedule of ``mix`` comes first. When its first source is used up, the
+    others go on in proportion to their weights: the block r of a source with
+    the weight q is due at r / q, so no source waits for another to end.
+    Documents of sources without tokens come last.
+    """
+    d = checkpointed(blocks(docs, block_tokens, seed))
+    sources = _sources(d, None)
+    first = _schedule(d, sources, 1).groupBy("doc_id").agg(F.min("slot").alias("_slot"))
+    due = d.join(F.broadcast(sources.select("source", "q", "total")), "source", "left").groupBy("doc_id").agg(F.min(F.expr("block * total div q")).alias("_due"))
+    when = due.join(first.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "_slot", "_due")
+    out = docs.join(when, docs["doc_id"].eqNullSafe(when["doc_id"])).select(*[docs[c] for c in docs.columns], "_slot", "_due")
+    return out.orderBy(F.asc_nulls_last("_slot"), F.asc_nulls_last("_due"), "doc_id").drop("_slot", "_due")
+
+
 def mix_sql(block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> str:
     return f"""
 WITH d AS (

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.llm.mixing import mix, mix_sql, mixed
+from rollcall.llm.mixing import mix, mix_sql, mixed, mixed_whole
 from rollcall.llm.packing import classes, pack, pack_sql
 
 
@@ -80,3 +80,19 @@ def test_edges(documents):
     none = docs.limit(0)
     assert mix(none).count() == 0 and mixed(none).count() == 0 and pack(none).count() == 0
     assert mix(docs.where("doc_id = 1")).count() == 0
+
+
+def test_a_small_source_ends_no_pipeline(spark, documents):
+    """Of a hot source and a stray one, all documents go through the stage."""
+    import corpus_pipeline
+
+    rows = [(i, "tok " * 500, "en", "hot") for i in range(400)] + [(1000 + i, "tok " * 500, "en", "mid") for i in range(40)] + [(2000, "tok tok", "en", None), (2001, "", "en", "void"), (None, "tok", "en", "hot")]
+    docs = documents(rows)
+    out = [r["doc_id"] for r in corpus_pipeline.mixing(spark, docs, "").collect()]
+    assert sorted(map(str, out)) == sorted(str(r[0]) for r in rows)
+    scheduled = [r["doc_id"] for r in mixed(docs).collect()]
+    assert len(scheduled) < len(rows) / 2 and out[: len(scheduled)] == scheduled
+    assert mixed_whole(docs.limit(0)).count() == 0
+    # The middle source isn't left to the end: it is spread over its weight.
+    at = [i for i, x in enumerate(out) if x is not None and 1000 <= x < 2000]
+    assert at[len(at) // 2] < 150
