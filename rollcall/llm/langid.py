@@ -134,7 +134,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     idf = np.log((1 + n) / (1 + df)) + 1
     known = docs.select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).where("lang is not null and text is not null and text <> ''")
     # A hash threshold lets each task keep about its share, the limit is exact.
-    share = min(1.0, 1.5 * train_rows / max(1, n))
+    share = min(1.0, 1.5 * train_rows / max(1, known.count()))
     known = known.where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
     sample = known.orderBy("h", "text", "lang").limit(train_rows).toArrow()
     names = sorted(set(sample["lang"].to_pylist()))

@@ -62,3 +62,12 @@ def test_edges(documents):
     assert L.identify(docs.limit(0)).count() == 0
     single = L.identify(docs.withColumn("lang", F.lit("en")))
     assert single.where("predicted_lang <> 'und' or confidence <> 0").isEmpty()
+
+
+def test_few_labels_of_many_documents_all_train(documents, monkeypatch):
+    """600 labelled among 30,000: as many train as may, not their share."""
+    some = rows(600, 5)
+    docs = documents(some + [(1000 + i, "x y", None) for i in range(30_000)])
+    seen = []
+    monkeypatch.setattr(L, "train", lambda data, y, k, train=L.train: seen.append(len(y)) or train(data, y, k))
+    assert L.fit(docs, 400) is not None and seen == [300]
