@@ -22,7 +22,8 @@ from rollcall.session import ship
 MIN_REPEAT = 48
 MAX_FRACTION = 0.6
 MAX_REPEAT = 1000
-MIN_BYTES = 300
+#: Shorter texts have no room for two repeats side by side.
+MIN_BYTES = 2 * MIN_REPEAT
 _U = np.uint64
 
 

@@ -58,3 +58,10 @@ def test_clean_labelled_documents_stay(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
     out = repetition_rules(docs).join(labels, "doc_id")
     assert out.where("not keep").count() == 0 < out.count()
+
+
+def test_short_texts_are_judged(documents):
+    junk = "the very same sentence of more than forty-eight bytes. "
+    rows = [(1, junk * 4), (2, junk * 2), (3, junk)]
+    keep = {r["doc_id"]: r["keep"] for r in repetition_rules(documents(rows)).collect()}
+    assert keep == {1: False, 2: False, 3: True}
