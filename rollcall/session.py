@@ -75,6 +75,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def build_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (narrow rows, best checkpointed) as the hashed side of a join:
-    broadcast while it is counted to be small, else shuffled."""
-    return df.hint("broadcast" if df.limit(max_rows + 1).count() <= max_rows else "shuffle_hash")
+    """``df`` (narrow rows, best checkpointed) as the side of a join that is
+    broadcast while it is counted to be small; beyond that, the planner sorts
+    or hashes, can spill and splits skewed keys."""
+    return df.hint("broadcast") if df.limit(max_rows + 1).count() <= max_rows else df
