@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm.fingerprints import fingerprints
-from rollcall.llm.jaccard import jaccard_join
+from rollcall.llm.jaccard import jaccard_join, jaccard_sql
 from rollcall.llm.langid import identify
 from rollcall.llm.mixing import mix, mix_sql
 from rollcall.llm.packing import pack, pack_sql
@@ -37,6 +37,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group and the number of its links."""
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
@@ -78,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """The operators that SQL can express; the others have brute-force tests."""
     return {
+        "op4_jaccard_join": jaccard_sql(),
         "op5_mixing": mix_sql(),
         "op6_packing": pack_sql(),
         "op8_warc": "SELECT page_id, url, html, 'complete' AS status FROM pages",
