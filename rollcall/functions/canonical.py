@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollcall.functions.fold import nfc
 from rollcall.functions.normalize import col
 
 
@@ -26,8 +27,10 @@ def base64url(hex_hash: Column | str) -> Column:
 
 
 def format_amount(x: Column | str) -> Column:
-    """Two decimals, halves rounded away from zero, in decimal arithmetic."""
-    return col(x).cast("string").cast("decimal(38,18)").cast("decimal(38,2)").cast("string")
+    """Two decimals, halves rounded away from zero, in decimal arithmetic; null
+    for what isn't a number, or has over 36 digits before the point."""
+    t = col(x).cast("string")
+    return F.coalesce(t.try_cast("decimal(38,18)").try_cast("decimal(38,2)"), t.try_cast("decimal(38,2)")).cast("string")
 
 
 def canonical_string(**fields: Column | str) -> Column:
@@ -61,15 +64,19 @@ def json_quote(x: Column | str, ascii_only: bool = False) -> Column:
 
 
 def plain_number(x: Column) -> Column:
-    """Without exponent, without trailing zeros, no negative zero."""
-    s = x.cast("decimal(38,18)").cast("string")
+    """Without exponent, without trailing zeros, no negative zero. Beyond 38
+    digits as the engine writes it; null for infinities and NaN."""
+    t = x.cast("string")
+    exact = lambda kind: F.when(t.try_cast(kind).cast("double") == x.cast("double"), t.try_cast(kind).cast("string"))
+    finite = x.cast("double").isin(float("inf"), float("-inf")) | F.isnan(x.cast("double"))
+    s = F.when(~finite, F.coalesce(exact("decimal(38,18)"), exact("decimal(38,37)"), exact("decimal(38,0)"), t))
     s = F.when(s.contains("."), F.regexp_replace(F.regexp_replace(s, "0+$", ""), "\\.$", "")).otherwise(s)
     return F.when(s == "-0", "0").otherwise(s)
 
 
 def canonical_json(x: Column, kind: T.DataType, ascii_only: bool = False, keep_nulls: bool = False) -> Column:
-    """Canonical JSON of a typed column: keys sorted, no white space, nulls left
-    out of objects (unless ``keep_nulls``), empty lists and objects kept."""
+    """Canonical JSON of a typed column: keys sorted, no white space, strings in
+    canonical composition, nulls left out of objects (unless ``keep_nulls``), empty lists and objects kept."""
     if isinstance(kind, T.StructType):
         parts = []
         for f in sorted(kind.fields, key=lambda f: f.name):
@@ -90,7 +97,7 @@ def canonical_json(x: Column, kind: T.DataType, ascii_only: bool = False, keep_n
         return x.cast("string")
     if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
         return plain_number(x)
-    return json_quote(x.cast("string"), ascii_only)
+    return json_quote(nfc(x.cast("string")), ascii_only)
 
 
 def fingerprint(x: Column, kind: T.DataType) -> Column:

@@ -34,10 +34,14 @@ def registration_date(x: Column | str, strict: bool = False) -> Column:
     return F.when(t.rlike(ISO), day(t)).when(t.rlike(US), F.coalesce(day(ymd), day(dmy))).when(t.rlike("^[1-9]\\d{3}$"), F.concat(t, F.lit("-01-01")))
 
 
-def parse_timestamp(x: Column | str) -> Column:
-    """RFC 3339, any offset; without one it is UTC; null if it isn't one. The
-    session's time zone must be UTC."""
-    return F.try_to_timestamp(col(x))
+RFC3339 = "^\\d{4}-\\d{2}-\\d{2}[Tt ]\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?"
+
+
+def parse_timestamp(x: Column | str, offset: bool = True) -> Column:
+    """RFC 3339, any offset; null if it isn't one. Without ``offset``, a text may
+    lack it and is UTC. The session's time zone must be UTC."""
+    t = F.trim(col(x))
+    return F.when(t.rlike(RFC3339 + ("([Zz]|[+-]\\d{2}:\\d{2})$" if offset else "([Zz]|[+-]\\d{2}:\\d{2})?$")), F.try_to_timestamp(F.upper(t)))
 
 
 def canonical_timestamp(ts: Column | str) -> Column:

@@ -1,7 +1,6 @@
-"""Folding of text to ASCII without a Unicode function: the compatibility
-decompositions of Python's ``unicodedata``, turned into one ``translate`` for
-characters that fold to one, and a bucketed map for those that fold to several.
-ASCII rows, the most, skip both."""
+"""Folding of text without a Unicode function: the decompositions of Python's
+``unicodedata`` in bucketed maps. The distinct characters of a row that aren't
+ASCII are few; each is replaced at once. ASCII rows, the most, skip it all."""
 
 from __future__ import annotations
 
@@ -48,13 +47,19 @@ def _literal(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _replaced(x: Column, entries: dict[str, str], found: Column) -> Column:
+    """``x`` with each of its ``found`` characters replaced by its entry; one
+    without stays. The few there are of a kind are replaced one after another."""
+    place = lambda c: F.pmod(F.ascii(c), F.lit(BUCKETS))
+    value = lambda c: lookup(entries, c, place(c), BUCKETS, lambda k: ord(k) % BUCKETS)
+    return F.aggregate(F.array_distinct(found), x, lambda y, c: F.coalesce(F.replace(y, c, value(c)), y))
+
+
 def to_ascii(x: Column) -> Column:
     """Compatibility decomposition; what isn't ASCII then is dropped."""
     one, many = tables()
-    t = F.translate(x, "".join(one), "".join(one.values()))
-    chars = F.transform(F.split(t, ""), lambda c: F.coalesce(lookup(many, c, F.pmod(F.ascii(c), F.lit(BUCKETS)), BUCKETS, lambda k: ord(k) % BUCKETS), c))
-    several = F.when(t.rlike("[" + "".join(many) + "]"), F.array_join(chars, "")).otherwise(t)
-    return F.when(x.rlike(NON_ASCII), F.regexp_replace(several, NON_ASCII, "")).otherwise(x)
+    rest = F.split(F.regexp_replace(x, "[\\x00-\\x7F]+", ""), "")
+    return F.when(x.rlike(NON_ASCII), F.regexp_replace(_replaced(x, one | many, rest), NON_ASCII + "+", "")).otherwise(x)
 
 
 @lru_cache
@@ -72,10 +77,59 @@ def marks() -> tuple[str, str]:
     return "".join(a), "".join(b)
 
 
+def jamo(x: Column) -> Column:
+    """Hangul syllables as the letters they are made of."""
+    utf8 = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+    def letters(c: Column) -> Column:
+        s = F.ascii(c) - 0xAC00
+        last = F.when(s % 28 > 0, utf8(F.lit(0x11A7) + s % 28)).otherwise("")
+        return F.concat(utf8(F.lit(0x1100) + F.floor(s / 588)), utf8(F.lit(0x1161) + F.floor(s % 588 / 28)), last)
+
+    syllables = F.array_distinct(F.split(F.regexp_replace(x, "[^\\uAC00-\\uD7A3]+", ""), ""))
+    return F.when(x.rlike("[\\uAC00-\\uD7A3]"), F.aggregate(syllables, x, lambda y, c: F.when(c == "", y).otherwise(F.replace(y, c, letters(c))))).otherwise(x)
+
+
+COMBINING = "[\\u0300-\\u036F\\u1AB0-\\u1AFF\\u1DC0-\\u1DFF\\u20D0-\\u20FF\\uFE20-\\uFE2F]"
+
+
+@lru_cache
+def compositions() -> tuple[dict[str, str], dict[str, str]]:
+    """A letter with its marks, in canonical order, and the one character for
+    it; and characters that always stand for another one."""
+    joined, single = {}, {}
+    for code in range(128, 0x30000):
+        c = chr(code)
+        if 0xAC00 <= code < 0xD7B0 or 0xD800 <= code < 0xE000:
+            continue
+        if unicodedata.normalize("NFC", c) != c:
+            single[c] = unicodedata.normalize("NFC", c)
+            continue
+        d = unicodedata.normalize("NFD", c)
+        if len(d) > 1:
+            for k in range(1, len(d)):  # a part may be composed already
+                head = unicodedata.normalize("NFC", d[:k])
+                joined[head + d[k:]] = c
+    return joined, single
+
+
+def nfc(x: Column) -> Column:
+    """Canonical composition of letters and the marks after them, up to the
+    longest that is one character; marks in another than the canonical order,
+    and Hangul letters, stay as they are."""
+    joined, single = compositions()
+    at = lambda table, c: lookup(table, c, F.pmod(F.ascii(c), F.lit(BUCKETS)), BUCKETS, lambda k: ord(k[0]) % BUCKETS)
+    heads = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(x, F.lit(f"([^\\x00-\\x1F])({COMBINING}+)"), F.lit(0)), lambda c: F.transform(F.reverse(F.sequence(F.lit(2), F.length(c))), lambda k: F.substring(c, F.lit(1), k)))))
+    y = F.aggregate(heads, x, lambda y, c: F.coalesce(F.replace(y, c, at(joined, c)), y))
+    alone = F.array_distinct(F.split(F.regexp_replace(y, "[\\x00-\\x7F]+", ""), ""))
+    y = F.aggregate(alone, y, lambda z, c: F.coalesce(F.replace(z, c, at(single, c)), z))
+    return F.when(x.rlike(NON_ASCII), y).otherwise(x)
+
+
 def strip_marks(x: Column) -> Column:
     """Without combining marks, but in its own script; typographic quotes go,
     dashes become '-', the ellipsis three dots; control characters go."""
     a, b = marks()
-    t = F.when(x.rlike(NON_ASCII), F.regexp_replace(F.translate(x, a, b), "[\\u0300-\\u036F\\u1AB0-\\u1AFF\\u1DC0-\\u1DFF\\u20D0-\\u20FF\\uFE20-\\uFE2F]", "")).otherwise(x)
+    t = F.when(x.rlike(NON_ASCII), F.regexp_replace(jamo(F.translate(x, a, b)), "[\\u0300-\\u036F\\u1AB0-\\u1AFF\\u1DC0-\\u1DFF\\u20D0-\\u20FF\\uFE20-\\uFE2F]", "")).otherwise(x)
     t = F.regexp_replace(F.translate(t, "‐‑‒–—− ", "------ "), "[‘’‚‛“”„‟]", "")
     return F.regexp_replace(F.replace(t, F.lit("…"), F.lit("...")), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]", "")

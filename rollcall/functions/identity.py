@@ -111,7 +111,11 @@ def with_confidence(name: Column, country: Column, address: Column, date: Column
     tier 3: 0.5, and 0.2 for an address, 0.2 for a date, 0.1 for more than three
     words, at most 0.9.
     """
-    c = canonical_input(name, country, address, date)
+    return rated(canonical_input(name, country, address, date), lei_, uei_)
+
+
+def rated(c: Column, lei_: Column, uei_: Column) -> Column:
+    """``with_confidence`` of a canonical input."""
     one, two = F.octet_length(lei_) == 20, F.octet_length(uei_) == 12
     some = lambda x, v: F.when(x.isNotNull(), v).otherwise(0.0)
     three = F.round(F.least(F.lit(0.5) + some(c["address"], 0.2) + some(c["date"], 0.2) + F.when(word_count(c["name"]) > 3, 0.1).otherwise(0.0), F.lit(0.9)) * 100) / 100
@@ -119,7 +123,7 @@ def with_confidence(name: Column, country: Column, address: Column, date: Column
     computed = F.array_compact(F.array(*names, F.when(c["address"].isNotNull(), F.lit("address")), F.when(c["date"].isNotNull(), F.lit("registration_date"))))
     return F.struct(
         hash_text(hash_string(c)).alias("entity_hash"), hash_string(c).alias("canonical"),
-        F.when(one, 1.0).when(two, 0.95).otherwise(three).alias("confidence_score"), F.when(one, 1).when(two, 2).otherwise(3).alias("tier"),
+        F.when(one, 1.0).when(two, 0.95).otherwise(three).cast("double").alias("confidence_score"), F.when(one, 1).when(two, 2).otherwise(3).alias("tier"),
         F.when(one, F.array(F.lit("lei"), *names)).when(two, F.array(F.lit("sam_uei"), *names)).otherwise(computed).alias("fields_used"),
     )
 

@@ -117,6 +117,60 @@ def parse(text: str) -> dict[str, Config]:
     return out
 
 
+_KINDS = {"abbreviations": "words", "agency_names": "agencies", "entity_types": "types"}
+
+
+def from_mapping(raw: dict) -> Config:
+    """A configuration from a parsed document: jurisdiction, parent,
+    abbreviations, agency_names, entity_types, rules (pattern, replacement,
+    is_regex, case_sensitive, enabled, order), stop_words. Unknown keys are passed
+    over; one that lacks its jurisdiction, or a rule without pattern or
+    replacement, is a ValueError."""
+    if not isinstance(raw, dict) or not raw.get("jurisdiction"):
+        raise ValueError("a configuration needs a jurisdiction")
+    key = fold_key(str(raw["jurisdiction"]))
+    c = Config(key, fold_key(str(raw["parent"])) if raw.get("parent") else None)
+    for name, field_ in _KINDS.items():
+        table = {str(k).strip().lower(): str(v).strip().lower() for k, v in (raw.get(name) or {}).items()}
+        setattr(c, field_, table)
+    for r in raw.get("rules") or []:
+        if "pattern" not in r or "replacement" not in r:
+            raise ValueError(f"a rule of {key} lacks its pattern or replacement")
+        c.rules.append(Rule(str(r["pattern"]), str(r["replacement"]), bool(r.get("is_regex", False)), bool(r.get("enabled", True)), bool(r.get("case_sensitive", False)), r.get("order")))
+    c.stop = {str(x).lower() for x in raw.get("stop_words") or []}
+    c.config_hash = hashed(c)
+    return c
+
+
+def read_configs(folder: str | Path) -> dict[str, Config]:
+    """Configurations of the YAML and JSON files below a folder, by key; on the
+    driver, as plans are compiled from them."""
+    found = {}
+    for path in sorted(Path(folder).rglob("*")):
+        if path.suffix in (".yaml", ".yml"):
+            import yaml  # optional: only those who have YAML files need it
+
+            raw = yaml.safe_load(path.read_text("utf-8"))
+        elif path.suffix == ".json":
+            raw = json.loads(path.read_text("utf-8"))
+        else:
+            continue
+        c = from_mapping(raw)
+        found[c.key] = c
+    found.setdefault(BASE, Config(BASE))
+    return found
+
+
+def stamped(raw: dict, updated: str) -> dict:
+    """A configuration document with its hash; one whose hash has changed gets
+    its patch version raised and ``updated`` as its time."""
+    h = from_mapping(raw).config_hash
+    if raw.get("config_hash") == h:
+        return raw
+    major, minor, patch = (str(raw.get("version") or "0.0.0").split(".") + ["0", "0"])[:3]
+    return raw | {"config_hash": h, "version": f"{major}.{minor}.{int(patch) + 1}", "updated_timestamp": updated}
+
+
 def hashed(c: Config) -> str:
     """SHA-256 of a configuration in canonical JSON."""
     body = {"abbreviations": c.words, "agency_names": c.agencies, "entity_types": c.types, "jurisdiction": c.key, "parent": c.parent, "rules": [[r.pattern, r.replacement, r.is_regex] for r in c.rules], "stop_words": sorted(c.stop)}
@@ -193,7 +247,7 @@ def compiled(name: Column | str, config: Config) -> Column:
     x = _collapse(x)
     words = {k: v for k, v in config.words.items() if " " not in k and k != v}
     if words:
-        x = F.array_join(F.transform(F.split(x, " "), lambda t: F.coalesce(lookup(words, t, F.ascii(t) - 97, 26, lambda k: ord(k[0]) - 97), t)), " ")
+        x = F.array_join(F.transform(F.split(x, " "), lambda t: F.coalesce(lookup(words, t, F.pmod(F.ascii(t), F.lit(26)), 26, lambda k: ord(k[0]) % 26), t)), " ")
     x = _collapse(_phrases(x, config.types))
     for r in config.rules:
         if r.is_regex:
@@ -206,46 +260,65 @@ def compiled(name: Column | str, config: Config) -> Column:
     return x
 
 
-def apply_localization(name: Column | str, jurisdiction: str) -> Column:
-    """A name in the words of one jurisdiction."""
-    return compiled(name, merged(chain(jurisdiction)))
+def apply_localization(name: Column | str, jurisdiction: str, configs: dict[str, Config] | None = None) -> Column:
+    """A name in the words of one jurisdiction; ``configs`` as ``read_configs``
+    gives them, else the package's own."""
+    return compiled(name, merged(chain(jurisdiction, configs), configs))
 
 
 def jurisdiction_key(x: Column | str) -> Column:
     return F.lower(F.replace(F.trim(col(x)), F.lit("-"), F.lit("/")))
 
 
-def localize(df: DataFrame, name: str, jurisdiction: str, jurisdictions: list[str] | None = None, out: str = "localized") -> DataFrame:
-    """``df`` with ``out``: the localized name, by the row's jurisdiction.
+def _cases(jurisdictions: list[str] | None) -> list[str]:
+    """Keys that are told apart, then the roots that others fall back to."""
+    return list(dict.fromkeys(fold_key(x) for x in (sorted(corpus()) if jurisdictions is None else jurisdictions)))
 
-    ``jurisdictions`` (all by default) may name those that occur, so that only their chains are
-    compiled; any other, and null, has the chain of its root where that is
-    known ('us/xx' that of 'us'), else the base.
-    """
-    key = jurisdiction_key(jurisdiction)
+
+def _by_jurisdiction(key: Column, value, jurisdictions: list[str] | None = None) -> Column:
+    """``value(jurisdiction)`` of the row's jurisdiction. One that isn't among
+    ``jurisdictions`` (all by default), and null, has its root's where that is
+    known ('us/xx' that of 'us'), else the base's."""
     case = None
-    for j in dict.fromkeys(fold_key(x) for x in (sorted(corpus()) if jurisdictions is None else jurisdictions)):
-        case = (F.when if case is None else case.when)(key == j, apply_localization(name, j))
+    for j in _cases(jurisdictions):
+        case = (F.when if case is None else case.when)(key == j, value(j))
     for root in sorted({k.split("/")[0] for k in corpus()} - {BASE}):
-        case = (F.when if case is None else case.when)(key.rlike(f"^{root}(/[^/]*)?$"), apply_localization(name, root))
-    return df.withColumn(out, case.otherwise(apply_localization(name, BASE)))
+        case = (F.when if case is None else case.when)(key.rlike(f"^{root}(/[^/]*)?$"), value(root))
+    return case.otherwise(value(BASE))
+
+
+def localized_by(name: Column | str, jurisdiction: Column | str, jurisdictions: list[str] | None = None) -> Column:
+    """The localized name, by the row's jurisdiction. ``jurisdictions`` may name
+    those that occur, so that only their chains are compiled."""
+    return _by_jurisdiction(jurisdiction_key(jurisdiction), lambda j: apply_localization(name, j), jurisdictions)
+
+
+def provenance(jurisdiction: Column | str, jurisdictions: list[str] | None = None) -> Column:
+    """(requested_key, resolved_keys, resolved_hashes), parents first."""
+    def of(j: str) -> Column:
+        c = chain(j)
+        return F.struct(F.array(*map(F.lit, c)).alias("k"), F.array(*[F.lit(corpus()[x].config_hash) for x in c]).alias("h"))
+
+    key = jurisdiction_key(jurisdiction)
+    found = _by_jurisdiction(key, of, jurisdictions)
+    return F.struct(key.alias("requested_key"), found["k"].alias("resolved_keys"), found["h"].alias("resolved_hashes"))
+
+
+def detailed_json(name: Column | str, jurisdiction: Column | str, jurisdictions: list[str] | None = None) -> Column:
+    """The localized name and its provenance as JSON."""
+    p = provenance(jurisdiction, jurisdictions)
+    return F.to_json(F.struct(localized_by(name, jurisdiction, jurisdictions).alias("output"), p["requested_key"].alias("requested_key"), p["resolved_keys"].alias("resolved_keys"), p["resolved_hashes"].alias("resolved_hashes")))
+
+
+def localize(df: DataFrame, name: str, jurisdiction: str, jurisdictions: list[str] | None = None, out: str = "localized") -> DataFrame:
+    """``df`` with ``out``: the localized name."""
+    return df.withColumn(out, localized_by(name, jurisdiction, jurisdictions))
 
 
 def localize_detailed(df: DataFrame, name: str, jurisdiction: str, jurisdictions: list[str] | None = None) -> DataFrame:
     """``localize`` and its provenance: requested_key, resolved_keys (parents
     first) and resolved_hashes."""
-    key = jurisdiction_key(jurisdiction)
-    keys = hashes = None
-    known = list(dict.fromkeys(fold_key(x) for x in (sorted(corpus()) if jurisdictions is None else jurisdictions)))
-    tests = [(key == j, j) for j in known] + [(key.rlike(f"^{r}(/[^/]*)?$"), r) for r in sorted({k.split("/")[0] for k in corpus()} - {BASE})]
-    for test, j in tests:
-        c = chain(j)
-        k, h = F.array(*map(F.lit, c)), F.array(*[F.lit(corpus()[x].config_hash) for x in c])
-        keys, hashes = (F.when(test, k), F.when(test, h)) if keys is None else (keys.when(test, k), hashes.when(test, h))
-    c = chain(BASE)
-    return localize(df, name, jurisdiction, jurisdictions).select(
-        "*", key.alias("requested_key"), keys.otherwise(F.array(*map(F.lit, c))).alias("resolved_keys"), hashes.otherwise(F.array(*[F.lit(corpus()[x].config_hash) for x in c])).alias("resolved_hashes")
-    )
+    return localize(df.withColumn("_p", provenance(jurisdiction, jurisdictions)), name, jurisdiction, jurisdictions).select(*df.columns, "localized", "_p.*")
 
 
 def apply_rules_trace(name: str, jurisdiction: str) -> list[dict[str, str]]:

@@ -83,7 +83,7 @@ def remove_punctuation(x: Column | str) -> Column:
 def map_tokens(x: Column, table: dict[str, str], lower: bool = False) -> Column:
     """Words between single spaces, each replaced by its entry if it has one."""
     plain = {k: v for k, v in table.items() if k != v}
-    one = lambda t: F.coalesce(lookup(plain, t, F.ascii(t) - 97, 26, lambda k: ord(k[0]) - 97), t)
+    one = lambda t: F.coalesce(lookup(plain, t, F.pmod(F.ascii(t), F.lit(26)), 26, lambda k: ord(k[0]) % 26), t)
     return F.array_join(F.transform(F.split(F.lower(x) if lower else x, " "), one), " ")
 
 

@@ -27,8 +27,9 @@ def mapping_distinct(names: DataFrame) -> DataFrame:
 
 def collisions(m: DataFrame, least: int = 2) -> DataFrame:
     """(normalized, n, raws): normal forms that several raw names share; raws in
-    order of position."""
-    g = m.groupBy("normalized").agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("x"))
+    order of position. Names without a form (null, or '' for those in scripts
+    that the form leaves nothing of) collide with nothing."""
+    g = m.where("normalized <> ''").groupBy("normalized").agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("x"))
     return g.where(F.size("x") >= least).select("normalized", F.size("x").alias("n"), F.transform("x", lambda e: e["raw"]).alias("raws"))
 
 

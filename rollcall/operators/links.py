@@ -69,3 +69,10 @@ def release_links(bundles: DataFrame) -> DataFrame:
 def spine(requests: DataFrame) -> DataFrame:
     """Build requests and links as one stream of records."""
     return requests.unionByName(links(requests), allowMissingColumns=True)
+
+
+def misplaced(requests: DataFrame, kind: str) -> DataFrame:
+    """Requests that a function for ``kind`` refuses, with the reason: of another
+    record kind or type, or with an error of their own."""
+    bad = F.when(F.col("record_kind") != "entity", "not an entity").when(F.col("record_type") != f"procurement.{kind}", F.lit(f"not of type procurement.{kind}")).otherwise(F.col("error"))
+    return requests.withColumn("refused", bad).where("refused is not null")

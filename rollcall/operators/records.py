@@ -6,13 +6,14 @@ Clocks are parameters, so results are the same on every run.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.canonical import canonical_string, projection_id
 from rollcall.functions.identity import PREFIXES, entity_hash, entity_type_uri
+from rollcall.functions.localize import localized_by
 from rollcall.functions.normalize import col, fallback_name, normalize_legal_name
 
 EPOCH = "1900-01-01T00:00:00.000000Z"
@@ -118,7 +119,8 @@ class Adapter:
     fallback: bool = False
     attestor: str = "urn:attestor:rollcall"
     clock: str = EPOCH
-    extra: dict = field(default_factory=dict, hash=False)
+    #: Names are put in the words of their jurisdiction before they are normalized.
+    localized: bool = False
 
     def canonicalize(self, raw: DataFrame) -> DataFrame:
         """legalName and jurisdictionIso; a row without one has ``error``."""
@@ -128,8 +130,12 @@ class Adapter:
         return raw.withColumns({"legalName": name, "jurisdictionIso": j}).withColumn("error", F.when(F.col("legalName").isNull(), "missing legal name").when(F.col("jurisdictionIso").isNull(), "missing jurisdiction"))
 
     def align(self, df: DataFrame) -> DataFrame:
-        n = fallback_name("legalName") if self.fallback else normalize_legal_name("legalName")
-        kept = [c for c in self.passthrough if c in df.columns]
+        # Columns of composed adapters are passed on, too.
+        kept = [c for c in df.columns if c in self.passthrough or c.startswith("error_")]
+        name = F.col("legalName")
+        if self.localized:
+            name = localized_by(name, "jurisdictionIso", [self.jurisdiction] if self.jurisdiction else None)
+        n = fallback_name(name) if self.fallback else normalize_legal_name(name)
         return df.select(*kept, F.lit(self.entity_type).alias("entityType"), "jurisdictionIso", "legalName", n.alias("legalNameNormalized"), "error")
 
     def identify(self, df: DataFrame) -> DataFrame:
@@ -166,21 +172,85 @@ register(Adapter("program", None, "state_portal", "program", ("program_name", "n
 
 
 def composed(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """Adapters one after another; rows with an error keep it and pass through
-    to the end unchanged in their identity."""
+    """Adapters one after another. A row with an error keeps the first one, and
+    its other columns are null from there on, as no later step ran for it."""
 
     def run(df: DataFrame) -> DataFrame:
         for step in steps:
-            before = df.columns
-            out = step(df)
-            if "error" in before and "error" not in out.columns:
+            if "error" not in df.columns:
+                df = step(df)
+                continue
+            # The first error goes along in a column that no step knows.
+            kept = "error" + "_" * (1 + max(map(len, df.columns)))
+            out = step(df.withColumnRenamed("error", kept).withColumn("error", F.lit(None).cast("string")))
+            if "error" not in out.columns:
                 raise ValueError("a step dropped the error column")
-            df = out
+            if kept not in out.columns:
+                raise ValueError("a step must pass on columns that it doesn't know")
+            good = F.col(kept).isNull()
+            df = out.select(*[F.coalesce(kept, "error").alias("error") if c == "error" else F.when(good, F.col(c)).alias(c) for c in out.columns if c != kept])
         return df
 
     return run
 
 
+# --- Records from JSON payloads -------------------------------------------------
+
+_TEXT = ("jurisdictionIso", "legalName", "legalNameNormalized", "entityHash", "entityType")
+PAYLOAD = "struct<" + ",".join(f"{n}:string" for n in _TEXT) + f",attestations:array<{ATTESTATION}>>"
+TAG = "struct<ctag_id:string,tag_type_uri:string,code:string,value:variant,applied_by:string,applied_at:string,scope:string,target_path:string,confidence:double,source_run_id:string,note:string,prov_activity_uri:string>"
+
+
+def from_raw(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Entity records of the raw payloads that are whole, and the others with
+    ``errors``; nothing is dropped."""
+    checked = df.withColumn("errors", payload_errors(df))
+    return entity_records(checked.where("size(errors) = 0"), **options), checked.where("size(errors) > 0")
+
+
+def entity_json(payload: Column | str, prefixes: dict[str, str] = PREFIXES, schema_uri: str = "urn:schema:entity", type_base: str = "urn:entity-type#", scheme_uri: str = "urn:identifier-scheme#entity-hash") -> Column:
+    """An entity record as JSON from a payload as JSON, nulls left out; null for
+    what isn't an object, lacks a field or has no attestation."""
+    p = F.from_json(col(payload), PAYLOAD)
+    ok = F.coalesce(F.size(p["attestations"]) > 0, F.lit(False))
+    for n in _TEXT:
+        ok = ok & F.coalesce(F.trim(p[n]) != "", F.lit(False))
+    time = F.lit(EPOCH)
+    record = F.struct(
+        F.lit("entity").alias("recordKind"), F.lit(schema_uri).alias("recordSchemaUri"), F.lit("1.0.0").alias("schemaVersion"), F.lit(1).alias("revisionNumber"),
+        F.concat(F.lit(prefixes["hash"]), p["entityHash"]).alias("verifiableId"), entity_type_uri(p["entityType"], type_base).alias("recordTypeUri"),
+        F.struct(F.lit("ACTIVE").alias("statusCode"), F.lit("1900-01-01").alias("statusEffectiveDate")).alias("status"), F.struct(time.alias("firstSeenAt"), time.alias("lastUpdatedAt"), time.alias("validFrom")).alias("timestamps"),
+        p["attestations"].alias("attestations"), p["jurisdictionIso"].alias("jurisdictionIso"), p["legalName"].alias("legalName"), p["legalNameNormalized"].alias("legalNameNormalized"),
+        F.array(F.struct(F.lit(scheme_uri).alias("schemeUri"), p["entityHash"].alias("identifier"))).alias("identifiers"),
+    )
+    return F.when(ok, F.to_json(record))
+
+
+def attested_json(payload: Column | str) -> Column:
+    """A relationship, exchange or context-tag record as JSON, unchanged if it
+    has an attestation with its required fields; else null."""
+    p = F.from_json(col(payload), f"struct<attestations:array<{ATTESTATION}>>")["attestations"]
+    whole = F.forall(p, lambda a: a["attestationTimestamp"].isNotNull() & a["attestorId"].isNotNull() & a["proofType"].isNotNull() & a["proofPurpose"].isNotNull())
+    return F.when(F.coalesce((F.size(p) > 0) & whole, F.lit(False)), col(payload))
+
+
+def context_tags(payload: Column | str) -> Column:
+    """array<struct> of the context tags of a record as JSON, under ``ctags`` or
+    ``contextTags``; those without type, author and time, or with a confidence
+    outside 0 to 1, are left out."""
+    kind = f"struct<ctags:array<{TAG}>,contextTags:array<{TAG}>>"
+    r = F.from_json(col(payload), kind)
+    good = lambda t: F.coalesce(t["tag_type_uri"], t["applied_by"], t["applied_at"]).isNotNull() & t["tag_type_uri"].isNotNull() & t["applied_by"].isNotNull() & t["applied_at"].isNotNull() & F.coalesce(t["confidence"].between(0, 1), F.lit(True))
+    return F.filter(F.coalesce(r["ctags"], r["contextTags"], F.expr(f"cast(array() as array<{TAG}>)")), good)
+
+
+def first_present(df: DataFrame, *names: str) -> Column:
+    """The value under the first of these columns that isn't null, blank or not;
+    columns that aren't there are passed over."""
+    there = [F.col(f"`{c}`").cast("string") for c in names if c in df.columns]
+    return F.coalesce(*there) if there else F.lit(None).cast("string")
+
+
 def example_inputs(df: DataFrame, folder: str = "folder") -> DataFrame:
     """(name, jurisdiction, country, address, entity_type) of mixed raw rows:
     a name from any of its usual columns, a jurisdiction from its own column or

@@ -64,7 +64,7 @@ def block_links(found: DataFrame) -> DataFrame:
     return found.withColumn("a", least).where("a < entity_id").select("a", F.col("entity_id").alias("b")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of undirected (a, b) edges; a component is
     named by its least node. Hooks to the least neighbour and jumps pointers, so
     the rounds grow with the logarithm of the diameter; each is checkpointed in
@@ -72,7 +72,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     e = edges.select("a", "b").where("a <> b")
     e = checkpointed(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = checkpointed(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         hooked = label.join(near.withColumnRenamed("a", "node"), "node").select("node", "component", F.least("component", "m").alias("c"))
         # What a root's members have found is the root's too.
@@ -84,7 +84,6 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         label = new.select("node", "component")
         if done:
             return label
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def clusters(entities: DataFrame, merged: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollcall.session import checkpoint_dir
+
 
 def read_names_csv(spark: SparkSession, column: str, path: str | None = None, url: str | None = None, limit: int | None = None) -> DataFrame:
     """(pos, raw_name): a column of a CSV with a header, all strings, without
@@ -22,7 +24,11 @@ def read_names_csv(spark: SparkSession, column: str, path: str | None = None, ur
     """
     if (path is None) == (url is None):
         raise ValueError("give either path or url")
-    df = spark.read.csv(path if url is None else download(url)[0], header=True, inferSchema=False, multiLine=False)
+    if url is not None:
+        # Executors read the file, so it goes to the folder that they share.
+        name = hashlib.sha256(check_url(url).encode()).hexdigest()[:16]
+        path = download(url, urlsplit(f"{checkpoint_dir(spark)}/downloads/{name}.csv").path)[0]
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=False)
     if column not in df.columns:
         raise KeyError(f"no column {column!r}; there are {df.columns}")
     return distinct_names(df.select(F.col(f"`{column}`").alias("raw_name")).withColumn("pos", F.monotonically_increasing_id()), limit=limit)
@@ -60,6 +66,14 @@ def read_documents(spark: SparkSession, root: str, glob: str = "*.json", recursi
     return files.select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), F.col("content").cast("string").alias("content")).dropDuplicates(["path"])
 
 
+def parsed(documents: DataFrame, schema: T.StructType | str, content: str = "content") -> DataFrame:
+    """``documents`` with ``record``, and ``error`` in words where there is none:
+    an empty file, no JSON, or no object."""
+    x = F.trim(content)
+    error = F.when(x.isNull() | (x == ""), "the file is empty").when(F.try_parse_json(content).isNull(), "the file isn't JSON").when(~x.startswith("{"), "the file holds no object")
+    return documents.withColumn("error", error).withColumn("record", F.when(F.col("error").isNull(), F.from_json(content, schema)))
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df

@@ -102,8 +102,8 @@ _REF = ("source_system", "jurisdiction", "ocid", "release_id", "date", "tags")
 
 def build_requests(b: DataFrame) -> DataFrame:
     """A row per record to be built: record_kind, record_type, the release it is
-    from, an endpoint (key of the record within it), a legal name and a JSON
-    payload. A buyer or supplier without a name, and a tender without an id, has
+    from, an endpoint (key of the record within it), a legal name, a party's
+    identifiers and the payload as JSON. A buyer or supplier without a name, and a tender without an id, has
     ``error`` set instead of a payload. The bundles are read once."""
     null = F.lit(None).cast("string")
 
@@ -113,10 +113,10 @@ def build_requests(b: DataFrame) -> DataFrame:
         ok = F.coalesce(F.trim(needed), F.lit("")) != "" if named or kind == "tender" else F.lit(True)
         return F.struct(
             F.lit(f"procurement.{kind}").alias("record_type"), pos.cast("int").alias("part_pos"), part["party_id" if named else "id"].alias("endpoint"), (part["awardID"] if kind == "contract" else null).alias("award_id"),
-            (F.trim(part["legal_name"]) if named else null).alias("legal_name"), F.when(ok, F.to_json(part)).alias("payload"), F.when(~ok, F.lit("missing or invalid " + ("legal_name" if named else "id"))).alias("error"),
+            (F.trim(part["legal_name"]) if named else null).alias("legal_name"), F.to_json(identifiers(part) if named else F.lit(None).cast(f"struct<primary:{_ID}>")).alias("identifiers"), F.when(ok, F.to_json(part)).alias("payload"), F.when(~ok, F.lit("missing or invalid " + ("legal_name" if named else "id"))).alias("error"),
         )
 
-    none = F.expr("cast(array() as array<struct<record_type:string,part_pos:int,endpoint:string,award_id:string,legal_name:string,payload:string,error:string>>)")
+    none = F.expr("cast(array() as array<struct<record_type:string,part_pos:int,endpoint:string,award_id:string,legal_name:string,identifiers:string,payload:string,error:string>>)")
     single = [F.when(F.col(k).isNotNull(), F.array(request(k, F.col(k), F.lit(0)))) for k in ("buyer", "tender")]
     each = lambda kind: lambda p, i: request(kind, p, i)
     many = [F.transform(c, each(k)) for c, k in (("suppliers", "supplier"), ("awards", "award"), ("contracts", "contract"))]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rollcall.functions.canonical import canonical_json
 
 
 def json_lines(df: DataFrame) -> DataFrame:
@@ -11,6 +14,20 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value"))
 
 
+def pretty_json(df: DataFrame) -> DataFrame:
+    """One string column ``value``: JSON objects with sorted keys, a line for each
+    entry, indented by two."""
+    return df.select(F.to_json(F.struct(*sorted(df.columns)), {"pretty": "true"}).alias("value"))
+
+
+def trace_json(steps: Column | str) -> Column:
+    """The steps of a name's normalization, array<struct<rule, before, after>>, as
+    canonical JSON, whose hash audits compare."""
+    x = F.col(steps) if isinstance(steps, str) else steps
+    step = T.StructType([T.StructField(n, T.StringType()) for n in ("rule", "before", "after")])
+    return canonical_json(x, T.ArrayType(step))
+
+
 def write_jsonl(df: DataFrame, path: str, force: bool = False) -> None:
     """Refuses to overwrite unless ``force``d."""
     json_lines(df).write.mode("overwrite" if force else "errorifexists").text(path)
