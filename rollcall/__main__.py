@@ -4,7 +4,12 @@
     canonicalize IN OUT --name COL [--jurisdiction COL]
     audit IN OUT --name COL [--limit N]
     validate IN OUT --schema FILE
+    generate-example IN OUT --name COL --country COL [--address COL] [--date COL] [--jurisdiction COL] [--force]
+    --version
 
+``validate`` exits with 1 if a row breaks the schema. ``generate-example`` writes
+each step of the way from raw rows to entity records (02_normalized,
+03_canonical, 04_entity_record); steps that are there are skipped unless --force.
 IN is a CSV with a header, JSON Lines or Parquet, by its suffix; OUT a folder.
 """
 
@@ -18,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall import __doc__ as about
-from rollcall.functions.identity import entity_hash
+from rollcall import __version__
+from rollcall.functions.identity import canonical_input, entity_hash
 from rollcall.functions.localize import localize
 from rollcall.functions.normalize import normalize_legal_name
-from rollcall.operators import audit, validate
+from rollcall.operators import audit, records, validate
 from rollcall.session import build_session
 from rollcall.sources.readers import distinct_names
 from rollcall.sources.writers import write_collisions_csv, write_jsonl, write_summary
@@ -36,9 +42,19 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def example(df: DataFrame, a: argparse.Namespace) -> dict[str, DataFrame]:
+    """The steps from raw rows to entity records."""
+    c = canonical_input(a.name, a.country, a.address, a.date)
+    j = F.col(a.jurisdiction) if a.jurisdiction else F.upper(a.country)
+    n = df.select(F.col(a.name).alias("legalName"), j.alias("jurisdictionIso"), c["name"].alias("legalNameNormalized"), entity_hash(a.name, a.country, a.address, a.date).alias("entityHash"), F.lit("entity").alias("entityType"), c.alias("canonical"))
+    n = records.attach_attestation(n, records.attestation("urn:attestor:rollcall"))
+    return {"02_normalized": n.drop("canonical"), "03_canonical": n.select("canonical.*"), "04_entity_record": records.entity_records(n)}
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="rollcall", description=about, epilog=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("command", choices=["entity-hash", "canonicalize", "audit", "validate"])
+    p.add_argument("command", choices=["entity-hash", "canonicalize", "audit", "validate", "generate-example"])
+    p.add_argument("--version", action="version", version=__version__)
     p.add_argument("input")
     p.add_argument("output")
     for name in ("name", "country", "address", "date", "jurisdiction", "schema"):
@@ -58,9 +74,12 @@ def main(args: list[str] | None = None) -> int:
         m = audit.mapping(names)
         write_collisions_csv(audit.collisions(m), f"{a.output}/collisions")
         write_summary(audit.summary(m), f"{a.output}/summary")
+    elif a.command == "generate-example":
+        for name, step in example(df, a).items():
+            if a.force or not Path(a.output, name).exists():
+                write_jsonl(step, f"{a.output}/{name}", a.force)
     else:
-        checks = validate.from_json_schema(json.loads(Path(a.schema).read_text("utf-8")))
-        found = df.withColumn("errors", validate.errors(checks))
+        found = validate.with_violations(df, json.loads(Path(a.schema).read_text("utf-8")))
         write_jsonl(found.where(F.size("errors") > 0), a.output, a.force)
         return 0 if validate.summary(found).first()["ok"] else 1
     return 0

@@ -29,6 +29,8 @@ def ascii_fold(x: str) -> str:
 
 
 def tokens(x: str, table: dict[str, str], lower: bool = False) -> str:
+    if not table:
+        return x
     t = "lower(t)" if lower else "t"
     cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items())
     return f"array_to_string(list_transform(string_split({x}, ' '), lambda t: CASE {t} {cases} ELSE {t} END), ' ')"

@@ -173,22 +173,27 @@ register(Adapter("program", None, "state_portal", "program", ("program_name", "n
 
 def composed(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """Adapters one after another. A row with an error keeps the first one, and
-    its other columns are null from there on, as no later step ran for it."""
+    its columns as they were then; those that only a later step makes are null."""
 
     def run(df: DataFrame) -> DataFrame:
         for step in steps:
             if "error" not in df.columns:
                 df = step(df)
                 continue
-            # The first error goes along in a column that no step knows.
-            kept = "error" + "_" * (1 + max(map(len, df.columns)))
-            out = step(df.withColumnRenamed("error", kept).withColumn("error", F.lit(None).cast("string")))
+            # What a row was goes along in a column that no step knows.
+            was = "error_" + "_" * max(map(len, df.columns))
+            before = {f.name: f.dataType for f in df.schema.fields}
+            out = step(df.withColumn(was, F.when(F.col("error").isNotNull(), F.struct(*[f"`{c}`" for c in df.columns]))).withColumn("error", F.lit(None).cast("string")))
             if "error" not in out.columns:
                 raise ValueError("a step dropped the error column")
-            if kept not in out.columns:
-                raise ValueError("a step must pass on columns that it doesn't know")
-            good = F.col(kept).isNull()
-            df = out.select(*[F.coalesce(kept, "error").alias("error") if c == "error" else F.when(good, F.col(c)).alias(c) for c in out.columns if c != kept])
+            if was not in out.columns:
+                raise ValueError("a step must pass on columns that start with 'error_'")
+
+            def kept(f) -> Column:
+                old = F.col(was)[f.name] if before.get(f.name) == f.dataType else F.lit(None).cast(f.dataType)
+                return F.when(F.col(was).isNull(), F.col(f"`{f.name}`")).otherwise(old).alias(f.name)
+
+            df = out.select(*[kept(f) for f in out.schema.fields if f.name != was])
         return df
 
     return run

@@ -2,7 +2,7 @@
 
 import pytest
 
-from rollcall import queries
+from rollcall import queries, queries_records  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
