@@ -2,7 +2,8 @@
 
 Slot i of the schedule has the point frac(i * golden ratio), in 32-bit integer
 arithmetic. The points run through the cumulative weights of the sources, so
-every stretch of the schedule has each source nearly in proportion. The r-th
+every stretch of the schedule has each source nearly in proportion (points
+repeat after 2^32 slots, as do their sources). The r-th
 slot of a source takes the r-th block of it: the documents of a source are
 shuffled by a hash and cut into blocks of ``block_tokens`` tokens, a document
 belonging to the block in which it starts.
@@ -24,6 +25,9 @@ BLOCK_TOKENS = 2048
 #: floor(2^32 / golden ratio), an odd number.
 GOLDEN = 2654435769
 SCALE = 1 << 20
+#: Blocks by which a source's slots may lag behind its share: beyond the
+#: discrepancy of the golden ratio's points for any number of slots there can be.
+SLACK = 40
 CELLS = 4096
 CHUNK = 1 << 16
 
@@ -56,7 +60,7 @@ def blocks(docs: DataFrame, block_tokens: int, seed: int) -> DataFrame:
     return d.join(cells, ["source", "cell"]).select("doc_id", "source", "tokens", F.expr(f"(before + inside) div {block_tokens}").alias("block"), F.col("k"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens: int = BLOCK_TOKENS, epochs: int = 1, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens: int = BLOCK_TOKENS, epochs: int | None = 1, seed: int = 0) -> DataFrame:
     """The schedule (slot, epoch, doc_id, source, tokens), a row per document
     and time that it is used.
 
@@ -79,16 +83,17 @@ def _sources(d: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     return checkpointed(_weights(d.sparkSession, sums, weights))
 
 
-def _schedule(d: DataFrame, sources: DataFrame, epochs: int) -> DataFrame:
+def _schedule(d: DataFrame, sources: DataFrame, epochs: int | None) -> DataFrame:
     spark = d.sparkSession
-    slots = sources.agg(F.min(F.expr(f"blocks * {epochs} * total div q")).alias("n")).first()["n"] or 0
+    length = F.min(F.expr(f"blocks * {epochs} * total div q")) if epochs is not None else F.max(F.expr(f"(blocks + {SLACK}) * total div q + 1"))
+    slots = sources.agg(length.alias("n")).first()["n"] or 0
     cell = (1 << 32) // CELLS
     # Each cell of the points knows the sources in it: an equi-join finds them.
     covers = sources.select(
         "source", "low", "high", "total", "blocks",
         F.explode(F.sequence(F.expr(f"(low * 4294967296 div total) div {cell}"), F.expr(f"least({CELLS - 1}, (high * 4294967296 div total) div {cell})"))).alias("c"),
     )
-    point = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"(id * {GOLDEN}L) % 4294967296L").alias("p"))
+    point = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"pmod((id % 4294967296L) * {GOLDEN - (1 << 32)}L, 4294967296L)").alias("p"))
     hit = (
         point.withColumn("c", F.expr(f"p div {cell}")).join(covers, "c")
         .where((F.col("p") * F.col("total") >= F.col("low") * (1 << 32)) & (F.col("p") * F.col("total") < F.col("high") * (1 << 32)))
@@ -98,6 +103,10 @@ def _schedule(d: DataFrame, sources: DataFrame, epochs: int) -> DataFrame:
     chunks = hit.groupBy("source", "chunk").count()
     chunks = chunks.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
     ranked = hit.withColumn("r", F.row_number().over(W.partitionBy("source", "chunk").orderBy("slot")) - 1).join(chunks, ["source", "chunk"]).withColumn("r", F.col("r") + F.col("before"))
+    if epochs is None:
+        # It ends with the slot at which the last source gets its last block.
+        ranked = checkpointed(ranked)
+        ranked = ranked.where(F.col("slot") <= (ranked.where("r = blocks - 1").agg(F.max("slot")).first()[0] or 0))
     ranked = ranked.select("slot", "source", F.expr("r div blocks").cast("int").alias("epoch"), F.expr("r % blocks").alias("block"))
     return d.join(ranked, ["source", "block"]).select("slot", "epoch", "doc_id", "source", "tokens")
 
@@ -127,7 +136,10 @@ def mixed_whole(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 0
     return out.orderBy(F.asc_nulls_last("_slot"), F.asc_nulls_last("_due"), "doc_id").drop("_slot", "_due")
 
 
-def mix_sql(block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> str:
+def mix_sql(block_tokens: int = BLOCK_TOKENS, seed: int = 0, whole: bool = False) -> str:
+    """``mix`` with one epoch or, if ``whole``, with ``epochs=None``."""
+    length = f"max((blocks + {SLACK}) * total // q + 1)" if whole else "min(blocks * total // q)"
+    last = "WHERE h.slot <= (SELECT max(slot) FROM hit WHERE r = blocks - 1)" if whole else ""
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS source, {tokens.SQL} AS tokens, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents
@@ -140,12 +152,12 @@ WITH d AS (
 ), cum AS (
   SELECT *, sum(q) OVER (ORDER BY source)::BIGINT AS high, (SELECT sum(q)::BIGINT FROM q) AS total FROM q
 ), n AS (
-  SELECT coalesce(min(blocks * total // q), 0)::BIGINT AS n FROM cum
+  SELECT coalesce({length}, 0)::BIGINT AS n FROM cum
 ), slots AS (
-  SELECT i AS slot, (i * {GOLDEN}) % 4294967296 AS p FROM (SELECT unnest(range(n)) AS i FROM n)
+  SELECT i AS slot, ((i % 4294967296)::HUGEINT * {GOLDEN}) % 4294967296 AS p FROM (SELECT unnest(range(n)) AS i FROM n)
 ), hit AS (
   SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS r
   FROM slots JOIN cum ON p * total >= (high - q) * 4294967296 AND p * total < high * 4294967296
 )
 SELECT h.slot, (h.r // h.blocks)::INT AS epoch, p.doc_id, p.source, p.tokens
-FROM hit h JOIN placed p ON p.source = h.source AND p.block = h.r % h.blocks"""
+FROM hit h JOIN placed p ON p.source = h.source AND p.block = h.r % h.blocks {last}"""

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.llm.mixing import mix, mix_sql, mixed, mixed_whole
+from rollcall.llm.mixing import GOLDEN, mix, mix_sql, mixed, mixed_whole
 from rollcall.llm.packing import classes, pack, pack_sql
 
 
@@ -44,6 +44,31 @@ def test_mix_and_pack_equal_sql(spark, sf, same):
     same(pack(docs, capacity=128, per_worker=50), pack_sql(128, 50))
 
 
+def test_the_whole_schedule_has_every_document(many, spark, sf, same):
+    out = mix(many, block_tokens=64, epochs=None).cache()
+    used = {r[0]: r[1] for r in out.groupBy("doc_id").count().collect()}
+    assert len(used) == many.count()
+    # The source that lasts longest is used once, but for a block that may come again.
+    once = out.where("source = 'a'").groupBy("doc_id").count().where("count > 1").count()
+    assert once <= 10 and out.where("source = 'c'").agg(F.max("epoch")).first()[0] >= 1
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    same(mix(docs, epochs=None), mix_sql(whole=True))
+    same(mix(docs, block_tokens=100, epochs=None), mix_sql(100, whole=True))
+
+
+def test_a_stray_source_ends_no_schedule(documents):
+    docs = documents([(i, "tok " * 50, "en", "big") for i in range(300)] + [(1000, "one", "en", None), (1001, None, "en", "none")])
+    out = mix(docs, block_tokens=64, epochs=None)
+    assert out.select("doc_id").distinct().count() == 301
+
+
+def test_points_far_along_the_schedule_don_t_overflow(spark):
+    """Slot 4e9 and beyond, as the schedule of a large corpus has."""
+    ids = [0, 1, 3_474_000_000, 4_000_000_000, 4_294_967_296, 9_000_000_000_000]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select(F.expr(f"pmod((id % 4294967296L) * {GOLDEN - (1 << 32)}L, 4294967296L)")).collect()
+    assert [r[0] for r in got] == [i * GOLDEN % 2**32 for i in ids]
+
+
 def test_mixed_keeps_columns_and_order(many):
     out = mixed(many, block_tokens=64)
     assert out.columns == many.columns
