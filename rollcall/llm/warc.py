@@ -9,6 +9,7 @@ header is taken off and chunked transfer framing is decoded.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -20,6 +21,10 @@ from rollcall.session import ship
 
 SCHEMA = "record_id string, warc_type string, target_uri string, origin_id string, segment_number int, total_length long, block binary"
 _CRLF = b"\r\n"
+_GZIP = b"\x1f\x8b\x08"
+#: Bytes that are given to the decompressor at once.
+STEP = 1 << 16
+_HEX = re.compile(rb"[0-9A-Fa-f]+")
 
 
 # --- The format -----------------------------------------------------------
@@ -39,16 +44,31 @@ def format_record(record_id: str, warc_type: str, block: bytes, target_uri: str
     return _CRLF.join(head) + _CRLF * 2 + block + _CRLF * 2
 
 
-def _members(data: bytes) -> Iterator[bytes]:
-    """The records' bytes: gzip members one by one, or all of a plain file."""
-    if data[:2] != b"\x1f\x8b":
-        yield data
+def _members(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """The records' bytes, and whether they are whole: gzip members one by one,
+    or all of a plain file. After a damaged member, the next one that can be
+    found is tried. Each byte is read once."""
+    if data[:2] != _GZIP[:2]:
+        yield data, True
         return
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        data = z.unused_data.lstrip(b"\0")
-        if data[:2] != b"\x1f\x8b":
+    view, at = memoryview(data), 0
+    while at < len(data):
+        z, pos, out = zlib.decompressobj(31), at, []
+        try:
+            while not z.eof and pos < len(data):
+                out.append(z.decompress(view[pos : pos + STEP]))
+                pos += min(STEP, len(data) - pos)
+            good = z.eof
+            if good:
+                pos -= len(z.unused_data)
+        except zlib.error:
+            good, pos = False, data.find(_GZIP, at + 1)
+        yield b"".join(out), good
+        if not good and pos == len(data):
+            return
+        # Members may be padded.
+        at = pos if data[pos : pos + 3] == _GZIP else data.find(_GZIP, pos)
+        if pos < 0 or at < 0:
             return
 
 
@@ -57,9 +77,10 @@ def _whole(x: str | None) -> int | None:
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
-    """Records of a file, plain or gzipped by record. A damaged rest of a
+    """Records of a file, plain or gzipped by record. A record whose block ends
+    before its Content-Length is ``truncated``; what can't be read of a damaged
     member is skipped."""
-    for part in _members(data):
+    for part, _ in _members(data):
         at = 0
         while (at := part.find(b"WARC/", at)) >= 0:
             end = part.find(_CRLF * 2, at)
@@ -77,15 +98,16 @@ def parse_records(data: bytes) -> Iterator[dict]:
             bare = lambda k, f=fields: f[k].strip("<>") if k in f else None
             yield {
                 "record_id": bare("warc-record-id"), "warc_type": fields.get("warc-type"), "target_uri": bare("warc-target-uri"), "origin_id": bare("warc-segment-origin-id"),
-                "segment_number": _whole(fields.get("warc-segment-number")), "total_length": _whole(fields.get("warc-segment-total-length")), "block": block,
+                "segment_number": _whole(fields.get("warc-segment-number")), "total_length": _whole(fields.get("warc-segment-total-length")), "block": block, "truncated": len(block) < length,
             }
             at = end + 4 + length
 
 
 def read_warc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Records of WARC files as rows of ``SCHEMA``; a task reads a file."""
+    """Records of WARC files as rows of ``SCHEMA`` and ``truncated``; a task
+    reads a file, which must be under 2 GB, as crawlers' files are."""
     ship(spark)
-    schema = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("origin_id", pa.string()), ("segment_number", pa.int32()), ("total_length", pa.int64()), ("block", pa.binary())])
+    schema = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("origin_id", pa.string()), ("segment_number", pa.int32()), ("total_length", pa.int64()), ("block", pa.binary()), ("truncated", pa.bool_())])
 
     def run(batches):
         for batch in batches:
@@ -99,7 +121,7 @@ def read_warc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, SCHEMA + ", truncated boolean")
 
 
 # --- HTTP -------------------------------------------------------------------
@@ -122,12 +144,9 @@ def decode_chunks(data: bytes) -> bytes | None:
         if end < 0:
             return None
         size = data[at:end].split(b";", 1)[0].strip()
-        try:
-            n = int(size, 16) if size[:1].isalnum() else -1
-        except ValueError:
-            return None
-        if n < 0:
+        if not _HEX.fullmatch(size):
             return None
+        n = int(size, 16)
         if n == 0:
             return b"".join(out)
         at = end + 2
@@ -138,16 +157,22 @@ def decode_chunks(data: bytes) -> bytes | None:
 
 
 def http_body(message: bytes) -> tuple[bytes | None, str]:
-    """Body and status (``complete``, ``bad header``, ``bad chunk``)."""
+    """Body and status (``complete``, ``bad header``, ``bad chunk``,
+    ``truncated``: shorter than its Content-Length)."""
     end = message.find(_CRLF * 2)
     if end < 0 or not message.startswith(b"HTTP/"):
         return None, "bad header"
     body = message[end + 4 :]
+    fields = {}
     for line in message[:end].split(_CRLF)[1:]:
         name, _, value = line.partition(b":")
-        if name.strip().lower() == b"transfer-encoding" and value.lower().rsplit(b",", 1)[-1].strip() == b"chunked":
-            body = decode_chunks(body)
-            return body, "complete" if body is not None else "bad chunk"
+        fields[name.strip().lower()] = value.strip()
+    if fields.get(b"transfer-encoding", b"").lower().rsplit(b",", 1)[-1].strip() == b"chunked":
+        body = decode_chunks(body)
+        return body, "complete" if body is not None else "bad chunk"
+    length = fields.get(b"content-length", b"")
+    if length.isdigit() and len(body) < int(length):
+        return None, "truncated"
     return body, "complete"
 
 
@@ -164,6 +189,8 @@ def join_segments(parts: Iterable[dict]) -> tuple[bytes | None, int, str]:
             return None, len(by), "conflicting segments"
         if n not in by or by[n]["total"] is None:
             by[n] = p
+    if any(p.get("truncated") for p in by.values()):
+        return None, len(by), "truncated"
     if not by or sorted(by) != list(range(1, len(by) + 1)):
         return None, len(by), "missing segment"
     block = b"".join(by[n]["block"] or b"" for n in sorted(by))
@@ -181,15 +208,18 @@ def reassemble(records: DataFrame) -> DataFrame:
     ``record_id`` is the origin's. The status is ``complete``, ``missing
     segment`` (a gap, or no segment that carries the total length),
     ``conflicting segments`` (one number, two contents), ``length mismatch``,
-    ``bad header`` or ``bad chunk``; where it isn't ``complete`` the body is
+    ``truncated`` (a block shorter than its length says), ``bad header`` or ``bad
+    chunk``; where it isn't ``complete`` the body is
     null. ``response`` records lose their HTTP header and framing, others keep
     their block. Rows with neither record_id nor origin_id are left out; a null
-    block counts as an empty one; further columns are ignored.
+    block counts as an empty one; further columns are ignored, but for a boolean
+    ``truncated``, as ``read_warc`` gives it. Segments are joined in memory, so a
+    record must be under 2 GB. An empty table gives an empty result.
     """
     ship(records.sparkSession)
     r = records.select(
         F.coalesce("origin_id", "record_id").alias("id"), F.when(F.col("origin_id").isNull(), F.col("warc_type")).alias("kind"), F.when(F.col("origin_id").isNull(), F.col("target_uri")).alias("uri"),
-        F.struct(F.col("segment_number").alias("n"), F.col("total_length").alias("total"), "block").alias("part"),
+        F.struct(F.col("segment_number").alias("n"), F.col("total_length").alias("total"), "block", (F.col("truncated") if "truncated" in records.columns else F.lit(False)).alias("truncated")).alias("part"),
     ).where("id is not null")
     whole = r.groupBy("id").agg(F.max("kind").alias("kind"), F.max("uri").alias("uri"), F.collect_list("part").alias("parts"))
 

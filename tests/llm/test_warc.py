@@ -54,3 +54,35 @@ def test_pages_come_back(spark):
     got = {r["record_id"]: r for r in W.reassemble(W.segmented(pages)).collect()}
     assert {k: bytes(r["body"]).decode() for k, r in got.items()} == {f"urn:page:{i}": h for i, h in ((1, "é" * 5000), (2, ""), (3, ""), (4, "x" * 3_000_000), (6, "plain"))}
     assert W.segmented(pages.limit(0)).count() == 0
+
+
+def test_damaged_and_truncated_files(spark, tmp_path):
+    good = [W.format_record(f"urn:{i}", "resource", b"x" * 100 * (i + 1), "u") for i in range(4)]
+    members = [gzip.compress(g) for g in good]
+    broken = bytearray(members[1])
+    broken[12:30] = b"\xff" * 18
+    (tmp_path / "a.warc.gz").write_bytes(members[0] + bytes(broken) + b"\0\0" + members[2] + members[3][:-9])
+    (tmp_path / "b.warc").write_bytes(W.format_record("urn:plain", "resource", b"y" * 50, "u") + W.format_record("urn:cut", "resource", b"z" * 100, "u")[:-60])
+    got = {r["record_id"]: (r["status"], r["body"] and len(r["body"])) for r in W.reassemble(W.read_warc(spark, str(tmp_path))).collect()}
+    assert got.pop("urn:3") in (("complete", 400), ("truncated", None))
+    assert got == {"urn:0": ("complete", 100), "urn:2": ("complete", 300), "urn:plain": ("complete", 50), "urn:cut": ("truncated", None)}
+
+
+def test_bodies_shorter_than_their_length_and_odd_chunk_sizes():
+    assert W.http_body(b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nshort") == (None, "truncated")
+    assert W.http_body(b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nshort") == (b"short", "complete")
+    for size in (b"1_0", b"+1", b"0x1", b"", b"-1"):
+        assert W.decode_chunks(size + b"\r\n" + b"a" * 16 + b"\r\n0\r\n\r\n") is None
+    assert W.decode_chunks(b"A;x=y\r\n" + b"a" * 10 + b"\r\n0\r\n\r\n") == b"a" * 10
+
+
+def test_reading_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        data = b"".join(gzip.compress(W.format_record(f"urn:{i}", "resource", random.Random(i).randbytes(1000), "u")) for i in range(n))
+        start = time.process_time()
+        assert sum(1 for _ in W.parse_records(data)) == n
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 0.5
