@@ -40,6 +40,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea iframe".split())
+_ENDS = {t: re.compile(f"</{t}", re.I) for t in _RAW}
 _DROP = frozenset("script style noscript template iframe head".split())
 _LOOK = frozenset("class id style align valign width height color bgcolor border role face size".split())
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
@@ -62,7 +63,7 @@ def parse(page: str) -> Node:
     """A tolerant DOM: unknown end tags are ignored, missing ones supplied."""
     root = Node("#root")
     stack = [root]
-    at, lower = 0, None
+    at = 0
 
     def add_text(raw: str) -> None:
         if raw and not raw.isspace():
@@ -102,9 +103,8 @@ def parse(page: str) -> Node:
         node = Node(tag, look, link=link)
         stack[-1].kids.append(node)
         if tag in _RAW:
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
-            end = len(page) if end < 0 else end
+            m = _ENDS[tag].search(page, at)
+            end = m.start() if m else len(page)
             if tag == "textarea":
                 node.kids.append(Node("#text", text=page[at:end]))
             close = page.find(">", end)
@@ -285,7 +285,8 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, gamma: float = GAMMA
     the text '' and nothing removed; pages without a host in their url share the
     host ''. Repeated rows count as pages of their own, so what only copies of
     one page have counts as shared. Columns of these names are replaced, others
-    stay.
+    stay. Pages of any length and depth are read whole; an empty table stays
+    empty.
     """
     ship(pages.sparkSession)
     tree = checkpointed(style_tree(pages, gamma))

@@ -44,6 +44,75 @@ def test_parser_is_tolerant():
     assert S.text_of("h", "<script>if (a < b) {}</script>t", set())[0] == "t"
 
 
+def test_letters_that_grow_in_lower_case_shift_nothing():
+    assert S.text_of("h", "İİİİ<SCRIPT>x()</Script><p>hello world</p>", set())[0] == "İİİİ\nhello world"
+
+
+def naive_tree(pages):
+    """{place: (importance, most)} of one host by the definitions, recursively;
+    a place is known by the styles and positions on the way to it."""
+    places = {}
+
+    def walk(node, place):
+        kids = [k for k in node.kids if k.tag not in S._DROP]
+        style = tuple((k.tag, k.look) for k in kids)
+        found = places.setdefault(place, {"styles": [], "features": []})
+        found["styles"].append(style)
+        if not kids:
+            found["features"].append(S.features(node))
+        for i, k in enumerate(kids):
+            walk(k, (place, style, i))
+
+    for p in pages:
+        walk(S.parse(p), ())
+
+    def value(place):
+        m = len(places[place]["styles"])
+        if m == 1:
+            return 1.0, 1.0
+        own = {x: places[place]["styles"].count(x) for x in places[place]["styles"]}
+        entropy = -sum(n / m * math.log(n / m) for n in own.values())
+        shared = {x: n for x, n in own.items() if n > 1 and x}
+        single = sum(1 for x, n in own.items() if n == 1 and x)
+        if not shared:
+            if len(own) == 1 and () in own:
+                each = {}
+                for fs in places[place]["features"]:
+                    for f in set(fs):
+                        each.setdefault(f, []).append(fs.count(f))
+                mean = sum(-sum(c / sum(v) * math.log(c / sum(v)) for c in v) for v in each.values()) / len(each) if each else math.inf
+                v = 1 - min(1.0, mean / math.log(m))
+            else:
+                v = 1.0
+            return v, v
+        below, top = single / m, 1.0 if single else 0.0
+        for style, n in shared.items():
+            kids = [value((place, style, i)) for i in range(len(style))]
+            below += n / m * sum(k[0] for k in kids) / len(style)
+            top = max([top, *(k[1] for k in kids)])
+        damp = S.GAMMA ** len(own)
+        v = (1 - damp) * min(1.0, entropy / math.log(m)) + damp * below
+        return v, max(v, top)
+
+    return sorted((round(v[0], 9), round(v[1], 9)) for p in places if len(places[p]["styles"]) > 1 for v in [value(p)])
+
+
+def test_importances_equal_brute_force(spark):
+    """Pages of one host that share some places and differ in others."""
+    import random
+
+    rng = random.Random(8)
+    html = []
+    for i in range(14):
+        items = "".join(f"<li>{rng.choice(['one', 'two', f'own {i}'])}.</li>" for _ in range(rng.choice([2, 2, 3])))
+        html.append(f'<body>{NAV}<ul class="{rng.choice("ab")}">{items}</ul><div><p>Text {i}. Shared sentence.</p>{rng.choice(["", "<img src=x>", "<b>bold</b>"])}</div>{FOOT}</body>')
+    pages = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = sorted((round(r["importance"], 9), round(r["most"], 9)) for r in S.style_tree(pages).collect())
+    want = naive_tree(html)
+    assert len(got) == len(want) > 20
+    assert all(math.isclose(a, b, abs_tol=1e-6) for x, y in zip(got, want, strict=True) for a, b in zip(x, y, strict=True))
+
+
 def test_edges(spark):
     rows = [(1, "http://a/", None), (2, "http://a/", ""), (3, None, "<p>x</p>"), (4, None, "<p>x</p>"), (None, "http://b/", page(1)), (5, "HTTP://User@B:80/x", page(2)), (5, "HTTP://User@B:80/x", page(2)), (6, "http://long/", "<div>" * 20_000 + "deep" + "<p>y " * 20_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("t")).withColumn("host", F.lit("t")).withColumn("node", F.lit(1)).withColumn("_host", F.lit(1))
