@@ -1,6 +1,6 @@
 """Language identification by sparse multinomial logistic regression.
 
-Features are byte n-grams of lower-cased texts (2, 3 and 4 bytes), hashed to
+Features are character n-grams of lower-cased texts (2, 3 and 4 letters), hashed to
 ``FEATURES`` places, with TF-IDF weights; document frequencies are counted over
 all documents. The weights are trained by follow-the-regularised-leader
 (FTRL-proximal, per coordinate) with an elastic net, on a bounded sample of
@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollcall.llm.textblocks import Block, blocks
@@ -25,25 +26,27 @@ SIZES = (2, 3, 4)
 TRAIN_ROWS = 6000
 UNKNOWN = "und"
 _U = np.uint64
+_STEP = _U(0x100000001B3)
 _ODD = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def hashed(block: Block) -> list[np.ndarray]:
-    """For each size, the feature of the n-gram that ends at each byte."""
-    x = block.data.astype(np.uint64)
-    out = []
-    for n, odd in zip(SIZES, _ODD, strict=True):
-        code = np.zeros(len(x), np.uint64)
-        for j in range(n):
-            code[n - 1 :] = (code[n - 1 :] << _U(8)) | x[j : len(x) - (n - 1 - j)] if len(x) >= n else code[n - 1 :]
+def hashed(block: Block) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each size, the feature of the n-gram that ends at each character;
+    and the bounds of the texts in characters."""
+    x = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + _U(1)
+    bounds = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])[block.bounds]
+    out, code = [], x
+    for odd in _ODD:
+        code = np.concatenate([np.zeros(1, np.uint64), code[:-1]])[: len(x)] * _STEP + x
         out.append(((code * odd + odd) >> _U(64 - BITS)).astype(np.uint16))
-    return out
+        # The next size starts from n-grams of this one.
+    return out, bounds
 
 
 def counts(block: Block):
     """(features, counts) of each text of a block."""
-    codes = hashed(block)
-    for a, b in zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist(), strict=True):
+    codes, bounds = hashed(block)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         tf = np.bincount(np.concatenate([c[min(a + n - 1, b) : b] for n, c in zip(SIZES, codes, strict=True)]), minlength=FEATURES)
         at = np.flatnonzero(tf)
         yield at, tf[at]
@@ -123,20 +126,43 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
+def quotas(each: dict[str, int], rows: int) -> dict[str, int]:
+    """How many of ``rows`` each language has: in proportion to its number, but
+    a quarter of an equal share at least where it has so many."""
+    whole = sum(each.values())
+    if whole <= rows:
+        return dict(each)
+    least = {k: min(n, rows // (4 * len(each))) for k, n in each.items()}
+    left, rest = rows - sum(least.values()), whole - sum(least.values())
+    share = {k: (n - least[k]) * left / rest for k, n in each.items()}
+    out = {k: least[k] + int(share[k]) for k in each}
+    for k in sorted(each, key=lambda k: (int(share[k]) - share[k], k))[: rows - sum(out.values())]:
+        out[k] += 1
+    return {k: n for k, n in out.items() if n}
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     """Trained on ``docs.lang``; None with fewer than two languages.
 
     At most ``train_rows`` labelled documents are used, chosen by a hash of the
-    identifier: every fourth of them sets the temperature, the others train.
+    identifier and text, of each language in proportion, but a rare one has a
+    quarter of an equal share if it can: every fourth of them sets the
+    temperature, the others train. Repeated labelled rows count as often as they
+    are there.
     """
     ship(docs.sparkSession)
     df, n = document_frequency(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
     known = docs.select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).where("lang is not null and text is not null and text <> ''")
-    # A hash threshold lets each task keep about its share, the limit is exact.
-    share = min(1.0, 1.5 * train_rows / max(1, known.count()))
-    known = known.where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
-    sample = known.orderBy("h", "text", "lang").limit(train_rows).toArrow()
+    each = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    take = quotas(each, train_rows)
+    if len(take) < 2:
+        return None
+    # A hash threshold lets each task keep about its share, the rank is exact.
+    quota = docs.sparkSession.createDataFrame([(k, v, int(min(1.0, (1.5 * v + 20) / each[k]) * (1 << 20)) + 1) for k, v in take.items()], "lang string, quota long, below long")
+    near = known.join(F.broadcast(quota), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("below"))
+    ranked = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where("r <= quota")
+    sample = ranked.select("text", "lang", "h").orderBy("h", "text", "lang").toArrow()
     names = sorted(set(sample["lang"].to_pylist()))
     if len(names) < 2:
         return None
@@ -152,10 +178,11 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
 def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` with ``predicted_lang`` and ``confidence``.
 
-    A null text, or one without an n-gram (under two bytes), is ``und`` with
+    A null text, or one without an n-gram (under two characters), is ``und`` with
     confidence 0, as is every text where fewer than two languages are labelled.
     Equal texts are predicted alike; between equal probabilities the first
-    language in code-point order wins. Columns of these names are replaced.
+    language in code-point order wins. Columns of these names are replaced. Very
+    long texts are read whole; an empty table stays empty.
     """
     model = fit(docs, train_rows)
     rest = docs.drop("predicted_lang", "confidence", "_lang")

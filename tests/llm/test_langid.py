@@ -71,3 +71,68 @@ def test_few_labels_of_many_documents_all_train(documents, monkeypatch):
     seen = []
     monkeypatch.setattr(L, "train", lambda data, y, k, train=L.train: seen.append(len(y)) or train(data, y, k))
     assert L.fit(docs, 400) is not None and seen == [300]
+
+
+def test_features_are_character_ngrams():
+    """Two texts of other scripts with the same letters have them in common."""
+    import pyarrow as pa
+
+    for text in ("дом и мир", "日本語の本", "naïve é", "ab"):
+        (block,) = list(L.blocks(pa.array([text])))
+        ((at, tf),) = list(L.counts(block))
+        grams = [text[i : i + n] for n in L.SIZES for i in range(len(text) - n + 1)]
+        assert tf.sum() == len(grams) and len(at) == len({g for g in grams})
+
+
+def test_ftrl_equals_a_plain_restatement():
+    rng = np.random.default_rng(5)
+    data = [(np.sort(rng.choice(50, 6, False)), rng.random(6)) for _ in range(40)]
+    y = rng.integers(0, 3, 40)
+    w, b = L.train(data, y, 3, epochs=2, l1=0.05, l2=0.02, seed=9)
+    alpha, beta = 0.5, 1.0
+    z, n = {}, {}
+
+    def weight(k, l1):
+        v, m = z.get(k, 0.0), n.get(k, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - np.sign(v) * l1) / ((beta + m**0.5) / alpha + 0.02)
+
+    order = np.random.default_rng(9)
+    for _ in range(2):
+        for i in order.permutation(40):
+            at, x = data[i]
+            w0 = {(f, c): weight((f, c), 0.05) for f in at.tolist() for c in range(3)}
+            b0 = [weight(("b", c), 0.0) for c in range(3)]
+            p = L.softmax(np.array([sum(x[j] * w0[f, c] for j, f in enumerate(at.tolist())) + b0[c] for c in range(3)]))
+            for c in range(3):
+                for key, v, old in [((f, c), x[j], w0[f, c]) for j, f in enumerate(at.tolist())] + [(("b", c), 1.0, b0[c])]:
+                    g = v * (p[c] - (y[i] == c))
+                    s = ((n.get(key, 0.0) + g * g) ** 0.5 - n.get(key, 0.0) ** 0.5) / alpha
+                    z[key] = z.get(key, 0.0) + g - s * old
+                    n[key] = n.get(key, 0.0) + g * g
+    assert all(abs(w[f, c] - weight((f, c), 0.05)) < 1e-9 for f in range(50) for c in range(3))
+    assert all(abs(b[c] - weight(("b", c), 0.0)) < 1e-9 for c in range(3))
+
+
+def test_predictions_equal_brute_force(documents):
+    docs = documents(rows(200, 6))
+    m = L.fit(docs)
+    for r in L.identify(docs).collect():
+        grams = [r["text"].lower()[i : i + n] for n in L.SIZES for i in range(len(r["text"]) - n + 1)]
+        code = {}
+        for g in grams:
+            h = 0
+            for k, c in enumerate(g):
+                h = ((h if k else 0) * int(L._STEP) + ord(c) + 1) % 2**64 if k else ord(c) + 1
+            odd = int(L._ODD[len(g) - 2])
+            f = ((h * odd + odd) % 2**64) >> (64 - L.BITS)
+            code[f] = code.get(f, 0) + 1
+        x = {f: (1 + np.log(c)) * m.idf[f] for f, c in code.items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        p = L.softmax((sum(v / norm * m.weights[f].astype(float) for f, v in x.items()) + m.bias) / m.temperature)
+        assert m.classes[int(np.argmax(p))] == r["predicted_lang"] and abs(p.max() - r["confidence"]) < 1e-4
+
+
+def test_rare_languages_are_in_the_sample():
+    q = L.quotas({"en": 100_000, "de": 50_000, "xx": 90, "yy": 3}, 6000)
+    assert sum(q.values()) == 6000 and q["xx"] == 90 and q["yy"] == 3 and 1.8 < q["en"] / q["de"] < 2.2
+    assert L.quotas({"en": 5, "de": 2}, 6000) == {"en": 5, "de": 2}
