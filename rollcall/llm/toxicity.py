@@ -27,7 +27,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.textblocks import WORD, Block, blocks, mix
@@ -296,17 +297,19 @@ def fit(docs: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT) -> tuple
         both.append(Model(code[on], own[on]) if _usable(own[on]) else None)
     if None in both:
         return None, float("inf")
-    s = F.when(half == 0, score_column(both[0], spark, "_first")).otherwise(score_column(both[1], spark, "_second"))
+    halves = [spark.sparkContext.broadcast(m) for m in both]
+    s = F.when(half == 0, score_column(halves[0], "_first")).otherwise(score_column(halves[1], "_second"))
     # Either model sees only the texts of the other half; the others are null.
     scored = labelled.select("_id", "_toxic", F.when(half == 0, F.col("_text")).alias("_first"), F.when(half == 1, F.col("_text")).alias("_second"))
     rows = scored.select(F.round(s / GRID).cast("long").alias("s"), "_toxic").groupBy("s").agg(F.sum(F.when(F.col("_toxic") > 0, 1).otherwise(0)).alias("t"), F.count("*").alias("n")).toArrow()
+    for shared in halves:
+        shared.destroy()
     s, t, n = (np.asarray(rows[c], np.float64) for c in ("s", "t", "n"))
     return Model(code, value[:, :2] + value[:, 2:]), best_threshold(s * GRID, t, n - t)
 
 
-def score_column(model: Model, spark: SparkSession, text: str):
-    """The score of a text column; the model is broadcast once."""
-    shared = spark.sparkContext.broadcast(model)
+def score_column(shared: Broadcast, text: str):
+    """The score of a text column by a model that is broadcast."""
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
@@ -320,11 +323,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null or empty text scores 0; it and every other text is toxic only above
     the threshold, so nothing is toxic where no labelled text is. Equal texts
-    score the same. Columns of ``docs`` of these names are replaced, others
+    score the same, and very long ones are read whole. Labelled rows that repeat
+    count as often as they are there. An empty table stays empty. Columns of ``docs`` of these names are replaced, others
     stay; labels may have any further columns.
     """
     model, threshold = fit(docs, labels)
     rest = docs.drop("toxic_score", "is_toxic")
     if model is None:
         return rest.withColumn("toxic_score", F.lit(0.0)).withColumn("is_toxic", F.lit(False))
-    return rest.withColumn("toxic_score", score_column(model, docs.sparkSession, "text")).withColumn("is_toxic", F.col("toxic_score") > F.lit(threshold))
+    return rest.withColumn("toxic_score", score_column(docs.sparkSession.sparkContext.broadcast(model), "text")).withColumn("is_toxic", F.col("toxic_score") > F.lit(threshold))
