@@ -49,13 +49,16 @@ def repeat_lengths(data: np.ndarray) -> np.ndarray:
     order = np.argsort(key)
     k = key[order]
     same = k[1:] == k[:-1]
+    del k
     if not same.any():
         return out
-    rank = np.empty(n, np.int64)
+    # A text has under 2^31 bytes, and a rank array is kept for each round.
+    rank = np.empty(n, np.int32)
     rank[order] = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(n), 0))
     ranks, h = [rank], 8
     tied = np.concatenate([same, [False]]) | np.concatenate([[False], same])
     left = order[tied]  # in groups, by rank
+    del order, tied
     while True:
         # Neighbours that part in this round get their LCP from the ranks of
         # all rounds before; those that stay tied wait for the next.
@@ -130,9 +133,13 @@ def repetition_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_fraction
     A text is rejected if repeats of ``min_repeat`` bytes or more cover over
     ``max_fraction`` of it, or if one of them has over ``max_repeat`` bytes. A
     text of under ``min_bytes`` is too short to judge and is kept, as is an
-    empty or null one (0 bytes, fraction 0). Equal texts get equal rows. Columns
+    empty or null one (0 bytes, fraction 0). ``min_repeat`` is 8 at least. Equal
+    texts get equal rows. Very long texts are judged whole; one that repeats itself
+    all over takes some 150 bytes of memory a byte. An empty table stays empty. Columns
     of ``docs`` of these names are replaced, others stay.
     """
+    if min_repeat < 8:
+        raise ValueError("min_repeat: 8 at least")
     ship(docs.sparkSession)
     names = ("n_bytes", "repeat_fraction", "longest_repeat", "keep")
     rest = docs.drop(*names, "_repetition").withColumn("_repetition", measures(min_repeat=min_repeat))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rollcall.llm.repetition import repeat_lengths, repetition, repetition_rules
@@ -65,3 +66,17 @@ def test_short_texts_are_judged(documents):
     rows = [(1, junk * 4), (2, junk * 2), (3, junk)]
     keep = {r["doc_id"]: r["keep"] for r in repetition_rules(documents(rows)).collect()}
     assert keep == {1: False, 2: False, 3: True}
+
+
+def test_a_very_long_text_that_repeats_itself_is_measured_whole():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    covered, longest = repetition(np.full(2_000_000, 97, np.uint8))
+    assert (covered, longest) == (2_000_000, 1_999_999)
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 < 200 * 2_000_000
+
+
+def test_repeats_under_eight_bytes_are_refused(documents):
+    with pytest.raises(ValueError):
+        repetition_rules(documents([(1, "x")]), min_repeat=4)
