@@ -28,7 +28,7 @@ def blocks(entities: DataFrame, identifiers: DataFrame) -> DataFrame:
 
 def candidate_pairs(found: DataFrame) -> DataFrame:
     """(a, b, kinds): every unordered pair of a block, once. Quadratic in the
-    size of a block, as the listing is; ``clusters`` doesn't need it."""
+    size of a block, as the listing is; ``merge_links`` does with fewer."""
     a, b = found.select("kind", "key", F.col("entity_id").alias("a")), found.select("kind", "key", F.col("entity_id").alias("b"))
     return a.join(b, ["kind", "key"]).where("a < b").groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
 
@@ -64,6 +64,35 @@ def block_links(found: DataFrame) -> DataFrame:
     return found.withColumn("a", least).where("a < entity_id").select("a", F.col("entity_id").alias("b")).distinct()
 
 
+def signatures(entities: DataFrame, identifiers: DataFrame, strong: tuple[str, ...] = STRONG) -> DataFrame:
+    """``entities`` with ``ids`` (sorted strong identifiers) and ``least``, the least
+    entity of those that no rule can tell apart and every rule merges: equal in
+    name, jurisdiction, type, country and identifiers, with either identifiers
+    (one a scheme) or a name and jurisdiction. Others are their own."""
+    i = identifiers.where(F.col("scheme").isin(list(strong)) & (F.col("value") != "")).select("entity_id", F.struct("scheme", "value").alias("i")).distinct()
+    held = i.groupBy("entity_id").agg(F.array_sort(F.collect_set("i")).alias("ids"), F.countDistinct("i.scheme").alias("schemes"))
+    e = entities.join(held, "entity_id", "left").withColumn("schemes", F.coalesce("schemes", F.lit(0)))
+    named = F.coalesce((F.col("name") != "") & F.col("jurisdiction").isNotNull(), F.lit(False))
+    alike = F.when(F.col("schemes") > 0, F.col("schemes") == F.size("ids")).otherwise(named)
+    text = F.to_json(F.struct("name", "jurisdiction", "entity_type", "country", "ids"), {"ignoreNullFields": "false"})
+    e = e.withColumn("sign", F.when(alike, F.sha2(text, 256)).otherwise(F.concat(F.lit("own:"), F.col("entity_id").cast("string"))))
+    least = e.groupBy("sign").agg(F.min("entity_id").alias("least"))
+    return e.join(least, "sign").drop("sign", "schemes")
+
+
+def merge_links(entities: DataFrame, identifiers: DataFrame, strong: tuple[str, ...] = STRONG) -> DataFrame:
+    """Links (a, b) with the same components as all merged pairs have. Entities
+    that can't be told apart are linked to their least one, and only the least
+    ones are paired: a block of n such entities costs n links, and one with s
+    different ones s * s / 2 pairs."""
+    e = checkpointed(signatures(entities, identifiers, strong))
+    stars = e.where("least < entity_id").select(F.col("least").alias("a"), F.col("entity_id").alias("b"))
+    few = e.where("least = entity_id").select("entity_id", "name", "jurisdiction", "entity_type", "country")
+    ids = identifiers.join(few.select("entity_id"), "entity_id", "left_semi")
+    pairs = evidence(candidate_pairs(blocks(few, ids)), few, ids, strong)
+    return stars.union(pairs.where("decision = 'merge'").select("a", "b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of undirected (a, b) edges; a component is
     named by its least node. Hooks to the least neighbour and jumps pointers, so

@@ -555,8 +555,8 @@ _CLOSURE = f"WITH RECURSIVE {_PEOPLE}, m AS (SELECT a, b FROM d WHERE rule IN (2
 
 @query(f"{_CLOSURE} SELECT * FROM k")
 def identity_clusters(spark, sf):
-    e, d = _decided(spark, sf)
-    return resolve.clusters(e, d.where("decision = 'merge'"))
+    e, i = _people(spark, sf)
+    return resolve.clusters(e, resolve.merge_links(e, i))
 
 
 @query(f"""{_CLOSURE} SELECT cluster, 'entity-cluster:' || rtrim(translate(to_base64(unhex(sha256('{{"members":["' || string_agg(entity_id::VARCHAR, '","' ORDER BY entity_id::VARCHAR) || '"],"version":"1.0.0"}}'))), '+/', '-_'), '=') AS cluster_id, count(*)::INT AS n_members FROM k GROUP BY cluster""")

@@ -86,3 +86,22 @@ def test_results_do_not_depend_on_partitions(spark, sf):
     m = queries.mapping(spark, sf).repartition(7)
     b = audit.collisions(m).withColumn("raws", F.array_join("raws", " || "))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_merge_links_have_the_components_of_all_merged_pairs(spark):
+    """Blocks of many entities that can't be told apart, contradictions, nulls
+    and several values of a scheme."""
+    import random
+
+    from rollcall.operators import resolve
+
+    rng = random.Random(2)
+    e = [(i, rng.choice(["n1", "n2", "", None]), rng.choice(["j", "k", None]), rng.choice(["t", "u", None]), rng.choice(["c", "d", None])) for i in range(140)]
+    i = [(k, s, f"{s}{rng.randint(0, 6)}") for k in range(0, 140, 2) for s in rng.sample(["lei", "uei", "bn", "local"], rng.randint(1, 2))] + [(0, "lei", "lei9"), (2, "lei", "lei9"), (2, "lei", "lei8"), (4, "lei", "")]
+    e = spark.createDataFrame(e, "entity_id int, name string, jurisdiction string, entity_type string, country string")
+    i = spark.createDataFrame(i, "entity_id int, scheme string, value string")
+    pairs = resolve.evidence(resolve.candidate_pairs(resolve.blocks(e, i)), e, i).where("decision = 'merge'")
+    links = resolve.merge_links(e, i)
+    want, got = ({tuple(r) for r in resolve.clusters(e, x).collect()} for x in (pairs, links))
+    assert got == want and len({c for _, c in want}) < 130
+    assert links.count() < pairs.count()
