@@ -55,6 +55,9 @@ SCRIPT_STREETS = entries(_STREETS + "; apartment < apt; building < bldg; center
 LEGACY_WORDS = CORE_WORDS | entries("north < n; south < s; east < e; west < w; sociedad anonima < sa")
 STOP = "a an and at by for in of on the to".split()
 
+#: ASCII characters that are neither letters, digits nor white space.
+_SIGNS = "".join(c for c in map(chr, range(1, 128)) if not c.isalnum() and c not in " \t\n\x0b\f\r")
+
 _UNIT = "(?i)\\b({})\\s*#?\\s*{}"
 SECONDARY = [_UNIT.format(a, b) for a, b in (("suite|ste|ste\\.", "\\w+"), ("apartment|apt|apt\\.", "\\w+"), ("unit", "\\w+"), ("floor|flr|fl", "\\d+"), ("room|rm", "\\w+"), ("building|bldg", "\\w+"))] + ["#\\s*\\d+\\s*$"]
 _dotted = "\\s*\\.\\s*".join
@@ -76,8 +79,10 @@ def collapse(x: Column | str) -> Column:
 
 
 def remove_punctuation(x: Column | str) -> Column:
-    """Without what is neither an ASCII letter or digit nor white space."""
-    return F.regexp_replace(col(x), "[^A-Za-z0-9\\s]", "")
+    """Without what is neither an ASCII letter or digit nor white space. ASCII
+    texts, the most, need no regular expression."""
+    x = col(x)
+    return F.when(x.rlike("[^\\x01-\\x7F]"), F.regexp_replace(x, "[^A-Za-z0-9\\s]", "")).otherwise(F.translate(x, _SIGNS, ""))
 
 
 def map_tokens(x: Column, table: dict[str, str], lower: bool = False) -> Column:
