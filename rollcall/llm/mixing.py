@@ -125,7 +125,8 @@ def mixed_whole(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 0
     The schedule of ``mix`` comes first. When its first source is used up, the
     others go on in proportion to their weights: the block r of a source with
     the weight q is due at r / q, so no source waits for another to end.
-    Documents of sources without tokens come last.
+    Documents of sources without tokens come last. Rows that repeat a doc_id are
+    told apart by their texts, so the order is the same each time.
     """
     d = checkpointed(blocks(docs, block_tokens, seed))
     sources = _sources(d, None)
@@ -133,7 +134,7 @@ def mixed_whole(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 0
     due = d.join(F.broadcast(sources.select("source", "q", "total")), "source", "left").groupBy("doc_id").agg(F.min(F.expr("block * total div q")).alias("_due"))
     when = due.join(first.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "_slot", "_due")
     out = docs.join(when, docs["doc_id"].eqNullSafe(when["doc_id"])).select(*[docs[c] for c in docs.columns], "_slot", "_due")
-    return out.orderBy(F.asc_nulls_last("_slot"), F.asc_nulls_last("_due"), "doc_id").drop("_slot", "_due")
+    return out.orderBy(F.asc_nulls_last("_slot"), F.asc_nulls_last("_due"), "doc_id", F.xxhash64("text")).drop("_slot", "_due")
 
 
 def mix_sql(block_tokens: int = BLOCK_TOKENS, seed: int = 0, whole: bool = False) -> str:

@@ -2,8 +2,8 @@
 
 A length x over capacity / (k + 1) and up to capacity / k is of class k: any k
 such documents fit into a bin, so a class's bins are filled by count, without
-regard to the others. Each worker (documents dealt by a hash) fills bins of its
-own and leaves at most one unfilled bin a class. From class 16 on only 16, 24,
+regard to the others. Each worker (documents dealt by a hash, or stretches of them
+in their order) fills bins of its own and leaves at most one unfilled bin a class. From class 16 on only 16, 24,
 32, 48, 64, 96 ... are used, the next lower one each; so a worker has few
 classes.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollcall.llm import tokens
+from rollcall.session import checkpointed
 
 CAPACITY = 2048
 PER_WORKER = 8192
@@ -36,7 +37,26 @@ def _class_sql(capacity: int, length: str = "n") -> str:
     return "CASE " + " ".join(f"WHEN {length} <= {capacity // k} THEN {k}" for k in reversed(used)) + " ELSE 1 END" if used else "1"
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_worker: int = PER_WORKER) -> DataFrame:
+def _places(docs: DataFrame) -> list:
+    """part and row: where each row is in the order of ``docs``. Of a table just
+    read, that is the order in which its files were written; its tasks read them
+    in another one."""
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in docs.columns:
+        at = docs.metadataColumn("_metadata")
+        return [at["file_path"].alias("part"), at["row_index"].alias("row")]
+    i = F.monotonically_increasing_id()
+    return [F.lpad(F.shiftright(i, 33).cast("string"), 10, "0").alias("part"), i.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")]
+
+
+def _stretches(docs: DataFrame, per_worker: int) -> DataFrame:
+    """doc_id, len and worker: stretches of ``per_worker`` rows, in their order."""
+    d = checkpointed(docs.select("doc_id", tokens.n_tokens().alias("len"), *_places(docs)))
+    before = F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = d.groupBy("part").agg(F.count("*").alias("rows")).select("part", before.alias("before"))
+    return d.join(F.broadcast(parts), "part").select("doc_id", "len", F.expr(f"(before + row) div {per_worker}").cast("int").alias("worker"))
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_worker: int = PER_WORKER, in_order: bool = False) -> DataFrame:
     """A row per segment: doc_id, segment, start, n_tokens, class, worker,
     bin_id and bin_offset (tokens of the bin before it).
 
@@ -45,11 +65,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_worker: int = PER_WORKER
     packed. A null text, or one without tokens, has no segment. Repeated rows are
     packed as often as they are there, and null identifiers like others. An empty
     table gives no row. Further columns are ignored.
+
+    With ``in_order``, the workers are stretches of ``per_worker`` rows in the order
+    of ``docs``, so bins taken worker by worker follow it.
     """
-    n = docs.count()
-    workers = max(1, -(-n // per_worker))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    d = docs.select("doc_id", tokens.n_tokens().alias("len"), (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % workers).cast("int").alias("worker")).where("len > 0")
+    if in_order:
+        d = _stretches(docs, per_worker)
+    else:
+        n = docs.count()
+        workers = max(1, -(-n // per_worker))
+        key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+        d = docs.select("doc_id", tokens.n_tokens().alias("len"), (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % workers).cast("int").alias("worker"))
+    d = d.where("len > 0")
     s = d.withColumn("segment", F.explode(F.expr(f"sequence(0, cast((len - 1) div {capacity} as int))")))
     s = s.withColumn("start", F.col("segment").cast("long") * capacity).withColumn("n", F.least(F.lit(capacity).cast("long"), F.col("len") - F.col("start")))
     s = s.withColumn("class", F.expr(_class_sql(capacity)))
