@@ -22,7 +22,8 @@ def mapping_distinct(names: DataFrame) -> DataFrame:
     """As ``mapping``, for tables in which names repeat a lot: each distinct
     name is normalized once and joined back."""
     each = names.select("raw_name").distinct().withColumn("normalized", normalize_legal_name("raw_name"))
-    return names.join(each, "raw_name").select("pos", F.col("raw_name").alias("raw"), "normalized")
+    each = each.withColumnRenamed("raw_name", "_name")
+    return names.join(each, F.col("raw_name").eqNullSafe(F.col("_name"))).select("pos", F.col("raw_name").alias("raw"), "normalized")
 
 
 def collisions(m: DataFrame, least: int = 2) -> DataFrame:

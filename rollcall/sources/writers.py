@@ -42,11 +42,11 @@ def write_collisions_csv(collisions: DataFrame, path: str, force: bool = True) -
     collisions_csv(collisions).write.mode("overwrite" if force else "errorifexists").option("header", True).csv(path)
 
 
-def mapping_rows(mapping: DataFrame) -> DataFrame:
+def mapping_rows(mapping: DataFrame, *kept: str) -> DataFrame:
     """(raw, normalized, trace_sha256): the mapping, one row a name, with the
-    hash of its trace where there is one."""
+    hash of its trace where there is one, after the columns that are ``kept``."""
     trace = F.sha2(F.col("trace").cast("binary"), 256) if "trace" in mapping.columns else F.lit(None).cast("string")
-    return mapping.select("raw", "normalized", trace.alias("trace_sha256"))
+    return mapping.select(*kept, "raw", "normalized", trace.alias("trace_sha256"))
 
 
 def write_summary(summary: DataFrame, path: str, force: bool = True) -> None:

@@ -105,3 +105,18 @@ def test_merge_links_have_the_components_of_all_merged_pairs(spark):
     want, got = ({tuple(r) for r in resolve.clusters(e, x).collect()} for x in (pairs, links))
     assert got == want and len({c for _, c in want}) < 130
     assert links.count() < pairs.count()
+
+
+def test_name_mapping_joins_no_name_with_all_rows_of_it(spark, sf):
+    """Rows were joined with all of their name, which grows with its square."""
+    plan = queries.QUERIES["name_mapping"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    names = spark.createDataFrame([(1, "The B"), (2, "The B"), (3, None)], "pos long, raw_name string")
+    assert sorted(map(tuple, audit.mapping_distinct(names).collect())) == [(1, "The B", "b"), (2, "The B", "b"), (3, None, None)]
+
+
+def test_symmetric_pairs_are_one_exchange(spark):
+    e = spark.createDataFrame([(1, 2), (2, 1), (2, 1), (3, 3), (4, 5), (4, 5), (None, 1), (1, None), (None, None)], "src long, dst long")
+    found = validate.symmetric_pairs(e)
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (3, 3)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
