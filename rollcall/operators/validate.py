@@ -286,9 +286,10 @@ def orphans(df: DataFrame, key: str, parents: DataFrame, parent_key: str) -> Dat
 
 def symmetric_pairs(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Pairs that an antisymmetric relation has both ways, and loops."""
-    e = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return e.join(back, ["src", "dst"], "left_semi").where("src <= dst")
+    src, dst = F.col(a), F.col(b)
+    ways = F.when(src <= dst, 1).otherwise(0) + F.when(src >= dst, 2).otherwise(0)
+    e = edges.where(src.isNotNull() & dst.isNotNull()).select(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst"), ways.alias("ways"))
+    return e.groupBy("src", "dst").agg(F.bit_or("ways").alias("ways")).where("ways = 3").select("src", "dst")
 
 
 def not_monotonic(df: DataFrame, *columns: str) -> DataFrame:
