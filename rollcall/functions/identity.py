@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from rollcall.functions.canonical import canonical_json, hash_text
 from rollcall.functions.dates import registration_date
+from rollcall.functions.fold import let
 from rollcall.functions.normalize import col, normalize_address, normalize_legal_name, slug, word_count
 
 #: Prefixes of verifiable identifiers, by scheme, in order of priority.
@@ -89,7 +90,7 @@ def canonical_input(name: Column | str, country: Column | str, address: Column |
     nothing and a date that isn't one are null."""
     null = F.lit(None).cast("string")
     return F.struct(
-        normalize_legal_name(name, profile).alias("name"), (null if address is None else F.nullif(normalize_address(address, profile), F.lit(""))).alias("address"),
+        normalize_legal_name(name, profile).alias("name"), (null if address is None else let(normalize_address(address, profile), lambda a: F.nullif(a, F.lit("")))).alias("address"),
         F.upper(col(country)).alias("country"), (null if date is None else registration_date(date, strict=profile == "script_preserving")).alias("date"),
     )
 
@@ -101,7 +102,7 @@ def hash_string(c: Column) -> Column:
 
 
 def entity_hash(name: Column | str, country: Column | str, address: Column | str | None = None, date: Column | str | None = None, profile: str = "core") -> Column:
-    return hash_text(hash_string(canonical_input(name, country, address, date, profile)))
+    return hash_text(let(canonical_input(name, country, address, date, profile), hash_string))
 
 
 def with_confidence(name: Column, country: Column, address: Column, date: Column, lei_: Column, uei_: Column) -> Column:
@@ -116,6 +117,10 @@ def with_confidence(name: Column, country: Column, address: Column, date: Column
 
 def rated(c: Column, lei_: Column, uei_: Column) -> Column:
     """``with_confidence`` of a canonical input."""
+    return let(c, lambda c: _rated(c, lei_, uei_))
+
+
+def _rated(c: Column, lei_: Column, uei_: Column) -> Column:
     one, two = F.octet_length(lei_) == 20, F.octet_length(uei_) == 12
     some = lambda x, v: F.when(x.isNotNull(), v).otherwise(0.0)
     three = F.round(F.least(F.lit(0.5) + some(c["address"], 0.2) + some(c["date"], 0.2) + F.when(word_count(c["name"]) > 3, 0.1).otherwise(0.0), F.lit(0.9)) * 100) / 100
@@ -130,7 +135,5 @@ def rated(c: Column, lei_: Column, uei_: Column) -> Column:
 
 def detailed_json(result: Column) -> Column:
     """The result of ``with_confidence`` as JSON in camel case, nulls kept."""
-    return F.to_json(
-        F.struct(result["entity_hash"].alias("entityHash"), result["canonical"].alias("canonical"), result["confidence_score"].alias("confidenceScore"), result["tier"].alias("tier"), result["fields_used"].alias("fieldsUsed")),
-        {"ignoreNullFields": "false"},
-    )
+    fields = lambda r: F.struct(r["entity_hash"].alias("entityHash"), r["canonical"].alias("canonical"), r["confidence_score"].alias("confidenceScore"), r["tier"].alias("tier"), r["fields_used"].alias("fieldsUsed"))
+    return F.to_json(let(result, fields), {"ignoreNullFields": "false"})

@@ -19,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.functions.fold import lookup
+from rollcall.functions.fold import let, lookup
 from rollcall.functions.normalize import col, fold_key
 
 BASE = "base"
@@ -235,8 +235,8 @@ def _phrases(x: Column, table: dict[str, str]) -> Column:
     if not table:
         return x
     rows = [(re.escape(k).replace("\\-", "-").replace("\\ ", " "), v) for k, v in longest_first(table)]
-    y = reduce(lambda c, e: F.regexp_replace(c, f"(?iU)\\b{e[0]}\\b", e[1]), rows, x)
-    return F.when(x.rlike("(?iU)\\b(" + "|".join(e[0] for e in rows) + ")\\b"), y).otherwise(x)
+    replaced = lambda y: reduce(lambda c, e: F.regexp_replace(c, f"(?iU)\\b{e[0]}\\b", e[1]), rows, y)
+    return let(x, lambda y: F.when(y.rlike("(?iU)\\b(" + "|".join(e[0] for e in rows) + ")\\b"), replaced(y)).otherwise(y))
 
 
 def compiled(name: Column | str, config: Config) -> Column:

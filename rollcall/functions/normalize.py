@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollcall.functions.fold import lookup, strip_marks, to_ascii
+from rollcall.functions.fold import let, lookup, strip_marks, to_ascii
 
 
 def entries(text: str) -> dict[str, str]:
@@ -81,8 +81,7 @@ def collapse(x: Column | str) -> Column:
 def remove_punctuation(x: Column | str) -> Column:
     """Without what is neither an ASCII letter or digit nor white space. ASCII
     texts, the most, need no regular expression."""
-    x = col(x)
-    return F.when(x.rlike("[^\\x01-\\x7F]"), F.regexp_replace(x, "[^A-Za-z0-9\\s]", "")).otherwise(F.translate(x, _SIGNS, ""))
+    return let(col(x), lambda y: F.when(y.rlike("[^\\x01-\\x7F]"), F.regexp_replace(y, "[^A-Za-z0-9\\s]", "")).otherwise(F.translate(y, _SIGNS, "")))
 
 
 def map_tokens(x: Column, table: dict[str, str], lower: bool = False) -> Column:
@@ -103,6 +102,12 @@ def remove_stop_words(x: Column | str, stop: list[str] = STOP, keep_initial: boo
     return F.array_join(F.filter(words, on), " ")
 
 
+def _dotted_forms(x: Column, forms: list[tuple[str, str]]) -> Column:
+    for pattern, form in forms:
+        x = F.regexp_replace(x, pattern, form)
+    return x
+
+
 def normalize_legal_name(name: Column | str, profile: str = "core", stop_words: bool = True, keep_initial: bool = False) -> Column:
     """A legal name in normal form; null stays null, '' stays ''.
 
@@ -115,8 +120,9 @@ def normalize_legal_name(name: Column | str, profile: str = "core", stop_words:
         return collapse(remove_stop_words(collapse(expand_abbreviations(x, CORE_WORDS if profile == "core" else LEGACY_WORDS))))
     if profile != "script_preserving":
         raise ValueError(f"no profile {profile!r}")
-    for pattern, form in DOTTED:
-        x = F.regexp_replace(x, pattern, form)
+    # Most names hold none of the rarer forms, and one search tells so.
+    x = let(x, lambda y: F.when(y.rlike("|".join(p for p, _ in DOTTED[:-2])), _dotted_forms(y, DOTTED[:-2])).otherwise(y))
+    x = _dotted_forms(x, DOTTED[-2:])
     x = collapse(F.regexp_replace(strip_marks(x), "(?U)[^\\p{IsAlphabetic}\\p{N}\\s]", " "))
     x = collapse(map_tokens(x, SCRIPT_WORDS))
     return collapse(remove_stop_words(x, keep_initial=keep_initial)) if stop_words else x
@@ -152,8 +158,7 @@ def fallback_name(name: Column | str) -> Column:
 
 
 def word_count(x: Column | str) -> Column:
-    x = collapse(x)
-    return F.when(x == "", 0).otherwise(F.size(F.split(x, " ")))
+    return let(collapse(x), lambda y: F.when(y == "", 0).otherwise(F.size(F.split(y, " "))))
 
 
 def slug(x: Column | str) -> Column:
@@ -163,12 +168,15 @@ def slug(x: Column | str) -> Column:
 
 def entity_type_of(name: Column | str) -> Column:
     """A guess at the type of an entity, from words in its normalized name."""
-    n = col(name)
     rules = [("\\bschool district\\b", "school_district"), ("\\b(university|college)\\b", "higher_education"), ("^(city|town|village|county|township)\\b|\\b(city|county|township)$", "municipality"), ("\\b(department|agency|authority|commission)\\b", "agency"), ("\\bfoundation\\b|\\bnot profit\\b", "nonprofit"), ("\\b(pac|committee)\\b", "political_committee"), ("\\b(incorporated|corporation|company|limited)\\b", "business")]
-    out = F.when(n.isNull(), F.lit(None))
-    for pattern, kind in rules:
-        out = out.when(n.rlike(pattern), kind)
-    return out.otherwise("other")
+
+    def kind_of(n: Column) -> Column:
+        out = F.when(n.isNull(), F.lit(None))
+        for pattern, kind in rules:
+            out = out.when(n.rlike(pattern), kind)
+        return out.otherwise("other")
+
+    return let(col(name), kind_of)
 
 
 def normalize_ein(x: Column | str) -> Column:

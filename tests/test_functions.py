@@ -145,3 +145,21 @@ def test_localize_tables(spark):
     r = localize_detailed(df, "n", "j", named).where("n = 'TTC'").first()
     assert r["resolved_keys"] == ["base", "ca", "ca/on"] and r["requested_key"] == "ca/on" and len(set(r["resolved_hashes"])) == 3
     assert chain("US-IL") == ["base", "us", "us/il"] and chain("ca/qc") == ["base", "ca/qc"] and chain("us/il/chi") == ["base"] and chain("DE") == ["base"] and len(corpus()) == 27
+
+
+def _places(df, text):
+    """How often a text stands in the plan that is run."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(text)
+
+
+def test_names_are_normalized_once_for_each_use(spark):
+    """Expressions that name their argument several times evaluate it once."""
+    # Two names, so that no literal is folded.
+    n = F.concat("a", F.lit("-MARK-"), "b")
+    df = spark.createDataFrame([("The", "Co."), ("Ärzte", "L.L.C."), (None, None)], "a string, b string")
+    for x in (normalize.entity_type_of(n), normalize.word_count(n), normalize.normalize_legal_name(n), normalize.normalize_legal_name(n, "script_preserving"), apply_localization(n, "us/il")):
+        assert _places(df.select(x.alias("x")), "-MARK-") == 1, x
+    null = F.lit(None).cast("string")
+    rated = df.select(identity.with_confidence(n, F.lit("us"), F.col("a"), F.col("b"), null, null).alias("r")).select("r.tier", "r.confidence_score", "r.fields_used")
+    assert _places(rated, "-MARK-") == 1
+    assert [tuple(r) for r in df.select(normalize.entity_type_of(normalize.normalize_legal_name(n)).alias("t"), normalize.word_count(n).alias("w")).collect()] == [("other", 1), ("other", 1), (None, None)]
