@@ -93,3 +93,14 @@ def test_adapters(spark):
         records.attestation("a", purpose="x")
     none = raw.select(F.expr("cast(array() as " + f"array<{records.ATTESTATION}>)").alias("attestations"))
     assert records.attested(none).count() == 0
+
+
+def test_release_texts_and_parties_are_read_once(spark, sf):
+    """Only lines' own columns are gathered; parties are listed once for all of them."""
+    from rollcall import queries
+
+    plan = queries.release_texts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and not any("Supplier" in line for line in plan.split("\n") if "collect_list" in line)
+    found = releases.releases(spark.createDataFrame([(1, '{"ocid": "a"}'), (2, "[1]"), (3, "{"), (4, None)], "pos long, content string").withColumn("content", F.concat("content", F.lit(" "))))
+    assert [r["pos"] for r in found.collect()] == [1]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("concat(content") == 1
